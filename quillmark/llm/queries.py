@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, warc
-from .common import materialize
+from . import bpe, chat, exact, langid, minhash, warc
+from .common import held_out, materialize
 
 #: The tokenizer of the operators that count tokens.
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.prepare(spark, docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = held_out(F.col("doc_id"))
+    return langid.predict(docs, langid.fit(docs.where(~fold)), ["doc_id", fold.alias("held_out")])
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
