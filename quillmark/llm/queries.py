@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, minhash, warc
-from .common import held_out, materialize
+from . import bpe, chat, embed, exact, langid, minhash, toxicity, warc
+from .common import bounded_sample, held_out, materialize
 
 #: The tokenizer of the operators that count tokens.
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.prepare(spark, docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    sample = bounded_sample(labels, F.xxhash64("doc_id"), toxicity.LABELLED)  # a bounded size, so its texts aren't shuffled
+    model = toxicity.fit(docs, docs.join(F.broadcast(sample), "doc_id"))
+    return toxicity.score(docs, model, ["doc_id", fold.alias("held_out")])
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = held_out(F.col("doc_id"))
@@ -52,12 +61,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs.withColumn("text_sha256", digest)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL}
+    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL}
 
 
 WARC_SQL = """
@@ -72,6 +85,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links,
+  (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS component_id,
+  vec_id = (SELECT min(b) FROM reach WHERE reach.a = vec_id) AS kept
+FROM v
+"""
+
 CHAT_SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
