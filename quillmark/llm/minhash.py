@@ -3,7 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct shingles of some words (words are runs without blanks, A-Z in
 lower case; a shorter document is one shingle; one without words has an empty set and no links).  Documents with equal
 sets are one class; classes are compared.  The MinHash samples of a class make its band keys and, folded into a parity
-bitmap, its odd sketch: the XOR of two sketches holds about as many ones as the samples differ.
+bitmap, its odd sketch: the XOR of two sketches holds about as many ones as the samples differ.  A second odd sketch is
+of the set itself: its XOR never holds more ones than the sets differ by, so that it refutes pairs without error.
 
 No bucket is expanded into all its pairs.  First each member is compared with its bucket's smallest and largest id; the
 links found this way are contracted to components.  Then, in buckets that still hold several components, the members
@@ -29,10 +30,10 @@ from . import common
 from .common import materialize
 from .components import components
 
-#: 32 bands of 6: a pair of similarity 0.85 shares no band with probability 3e-7, one of 0.8 with 6e-5.
-BANDS, ROWS, SKETCH_BITS = 32, 6, 512
-#: Candidates are given up if the sketch's estimate is lower than the threshold by this (six deviations of the estimate).
-SLACK = 0.19
+#: 40 bands of 6: a pair of similarity 0.85 shares no band with probability 6e-9, one of 0.8 with 5e-6.
+BANDS, ROWS, SKETCH_BITS, SET_BITS = 40, 6, 512, 1024
+#: Candidates are given up if the sketch's estimate is lower than the threshold by this (five deviations of the estimate).
+SLACK = 0.14
 #: Ids of candidates that are broadcast at most (8 bytes each).
 BROADCAST_ROWS = 500_000
 SEED = 20240229
@@ -91,22 +92,24 @@ class Signer:
             np.minimum(least, hashed.min(0), out=least)
         return least
 
-    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys of two numbers per set, band keys, sketches), as signed numbers."""
+    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of two numbers per set, band keys, sketches of the samples and of the set), as signed numbers."""
         n = len(sets)
         keys = np.zeros((n, 2), np.uint64)
         drawn = np.zeros((n, len(self.scale)), np.uint64)
+        whole = np.zeros((n, SET_BITS), np.uint8)
         for i, own in enumerate(sets):
             if len(own):
                 keys[i] = mix(own).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(own ^ np.uint64(SEED)))
                 drawn[i] = self.samples(own)
+                whole[i] = np.bincount((own >> np.uint64(40)).astype(np.int64) % SET_BITS, minlength=SET_BITS) & 1
         bands = np.tile(np.arange(1, self.bands + 1, dtype=np.uint64), (n, 1))
         for r in range(self.rows):
             bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + drawn[:, r :: self.rows])
         places = mix(drawn + np.arange(len(self.scale), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(self.bits)
         flips = np.bincount((places + np.arange(n, dtype=np.uint64)[:, None] * np.uint64(self.bits)).ravel().astype(np.int64), minlength=n * self.bits).reshape(n, self.bits) & 1
         sketch = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
-        return keys.view(np.int64), bands.view(np.int64), sketch
+        return keys.view(np.int64), bands.view(np.int64), sketch, np.packbits(whole, axis=1).view(np.int64)
 
 
 def lists(matrix: np.ndarray) -> pa.Array:
@@ -114,26 +117,40 @@ def lists(matrix: np.ndarray) -> pa.Array:
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sketch) of every row."""
+    """(id, n, k1, k2, bands, sketch, parity) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 sets = shingle_sets(common.texts_of(part), words)
-                keys, bands, sketch = signer.sign(sets)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(bands), lists(sketch)], ["id", "n", "k1", "k2", "bands", "sketch"])
+                keys, bands, sketch, parity = signer.sign(sets)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(bands), lists(sketch), lists(parity)], ["id", "n", "k1", "k2", "bands", "sketch", "parity"])
 
     common.bounded_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
-def estimate(a: Column, b: Column, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> Column:
-    """The similarity that two odd sketches suggest; 0 where they are as different as chance makes them."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def sketched(df: DataFrame, side: str, *others: str) -> DataFrame:
+    """Size and sketches as plain columns named by `side`, which generated code compares."""
+    words = [F.get(c, F.lit(i)).alias(f"{side}_{c}{i}") for c, bits in (("sketch", SKETCH_BITS), ("parity", SET_BITS)) for i in range(bits // 64)]
+    return df.select(*others, F.col("n").alias(f"{side}_n"), *words)
+
+
+def estimate(ones: Column, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> Column:
+    """The similarity that the ones in the XOR of two odd sketches suggest; 0 where they are as many as chance makes them."""
     return F.when(2 * ones >= bits, 0.0).otherwise(F.lit(1.0) + F.log(1 - 2 * ones / F.lit(float(bits))) * (bits / (4 * samples)))
 
 
+def plausible(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches of two sides leave open that the sets are similar enough."""
+    ones = lambda c, bits: sum((F.bit_count(F.col(f"{x}_{c}{i}").bitwiseXOR(F.col(f"{y}_{c}{i}"))) for i in range(bits // 64)), F.lit(0))
+    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    parity = (100 + percent) * ones("parity", SET_BITS) <= (100 - percent) * (n + m)
+    return sizes & parity & (estimate(ones("sketch", SKETCH_BITS)) >= percent / 100 - SLACK)
+
+
 def sets_of(df: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, shingles) of the rows whose (id) is in `wanted`; one row for each id and set."""
 
@@ -150,11 +167,8 @@ def sets_of(df: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -
     return some.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sizes and odd sketches sift them first."""
-    of = lambda side: classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate(F.col("sa"), F.col("sb")) >= percent / 100 - SLACK))
-    near = materialize(near.select("a", "b"), "candidates")
+def confirm(near: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     ids = materialize(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
     sets = materialize(sets_of(df, ids, key, text, words), "sets")
     have = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}"))
@@ -173,19 +187,21 @@ def links(classes: DataFrame, df: DataFrame, key: str, text: str, words: int, pe
     ends = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "buckets")
     members = materialize(buckets.join(ends, "bucket"), "members")
     stars = members.select(*ordered("id", "lo")).union(members.select(*ordered("id", "hi"))).where("a < b").distinct()
-    stars = materialize(stars, "stars")
-    found = confirm(stars, classes, df, key, text, words, percent)
+    of = lambda side: sketched(classes, side, F.col("id").alias(side))
+    stars = materialize(stars.join(of("a"), "a").join(of("b"), "b").where(plausible("a", "b", percent)).select("a", "b"), "stars")
+    found = confirm(stars, df, key, text, words, percent)
     labels = components(found)
     known = materialize(members.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "labelled")
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = materialize(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "mixed")
-    others = materialize(known.join(mixed, "bucket"), "others")
-    strays = others.where("label <> main").select("bucket", F.col("id").alias("x"), F.col("label").alias("lx"))
-    crossed = others.select("bucket", "id", "label").join(strays, "bucket").where("label <> lx").select(*ordered("id", "x")).distinct()
-    crossed = materialize(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
+    others = materialize(known.join(mixed, "bucket").join(classes.drop("bands"), "id"), "others")
+    strays = sketched(others.where("label <> main"), "x", "bucket", F.col("id").alias("x"), F.col("label").alias("lx"))
+    crossed = sketched(others, "y", "bucket", "id", "label").join(strays, "bucket").where((F.col("label") != F.col("lx")) & plausible("x", "y", percent))
+    crossed = crossed.select(*ordered("id", "x")).distinct().join(stars, ["a", "b"], "left_anti")
+    crossed = materialize(crossed, "crossed")
     if crossed.isEmpty():
         return labels
-    more = confirm(crossed, classes, df, key, text, words, percent)
+    more = confirm(crossed, df, key, text, words, percent)
     return labels if more.isEmpty() else components(found.union(more))
 
 
@@ -196,7 +212,7 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     full = signed.where("n > 0 AND id IS NOT NULL")
     groups = materialize(full.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("size")), "classes")
     firsts = groups.select(*same, F.col("first").alias("id"))
-    classes = materialize(full.join(firsts, [*same, "id"]).dropDuplicates(["id"]).select("id", "n", "bands", "sketch"), "firsts")
+    classes = materialize(full.join(firsts, [*same, "id"]).dropDuplicates(["id"]).select("id", "n", "bands", "sketch", "parity"), "firsts")
     labels = links(classes, df, key, text, words, percent)
     copies = materialize(groups.where("size > 1").select(*same, "first"), "copies")
     rows = signed.select("id", *same).join(copies, same, "left").withColumn("first", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("first", "id")))
