@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, exact, langid, minhash, packing, toxicity, warc
+from . import bpe, chat, embed, exact, langid, minhash, packing, pii, toxicity, warc
 from .common import bounded_sample, held_out, materialize
 
 #: The tokenizer of the operators that count tokens.
@@ -61,6 +61,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs.withColumn("text_sha256", digest)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.spans_of(docs, pii.fit(docs))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
