@@ -211,9 +211,9 @@ def answer_prompt(results: DataFrame, size: int = 500, most: int = 5) -> DataFra
     return top.select("qid", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
 
 
-def lexicon_of_corpus(docs: DataFrame, words: int = 150, least: float = 0.015, stop: list[str] = ()) -> DataFrame:
+def lexicon_of_corpus(docs: DataFrame, words: int = 150, least: float = 0.015, stop: list[str] = (), between: str = r"(?U)\W+") -> DataFrame:
     """(word, weight, category): the corpus's words by tf-idf over the largest, in three bands."""
-    tokens = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\W+")).alias("word")).where((F.length("word") >= 2) & (F.length("word") <= 8) & ~F.col("word").isin(list(stop)))
+    tokens = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), between)).alias("word")).where((F.length("word") >= 2) & (F.length("word") <= 8) & ~F.col("word").isin(list(stop)))
     n = docs.agg(F.count("*").alias("n_docs"))
     per = tokens.groupBy("word").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df")).crossJoin(F.broadcast(n))
     scored = per.withColumn("raw", F.col("tf") * F.log((1 + F.col("n_docs")) / (1 + F.col("df"))))

@@ -140,7 +140,7 @@ def ground_truth_stats(pairs: DataFrame) -> DataFrame:
 
 def sampled_queries(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a seeded hash: the same on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)
 
 
 def query_text(text: Column, size: int = 200) -> Column:

@@ -190,7 +190,7 @@ def expansion_quality(entities: Column, relations: Column, confidence: Column) -
 
 def explain(entities: DataFrame, articles: DataFrame) -> DataFrame:
     """A line of reasons for each crime found in a query, strongest first."""
-    near = entities.where("crime IS NOT NULL").join(articles, "crime")
+    near = entities.where("crime IS NOT NULL").select("qid", "crime").join(articles, "crime")
     line = F.concat(F.col("crime"), F.lit(" -> "), F.col("article").cast("string"), F.lit(" ("), confidence_level(F.col("confidence")), F.lit(")"))
     return near.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), line.alias("line")))), lambda x: x["line"]).alias("steps"))
 

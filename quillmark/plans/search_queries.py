@@ -50,7 +50,7 @@ def vector_calibrate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_allpairs_stats(spark: SparkSession, d: str) -> DataFrame:
-    return final(vector.sample_similarities(vectors(spark, d), F.crc32(F.col("doc_id").cast("string").cast("binary")), 50))
+    return final(vector.sample_similarities(vectors(spark, d), F.md5(F.col("doc_id").cast("string").cast("binary")), 50))
 
 
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -210,6 +210,8 @@ SQL = {
     "vector_by_id": "SELECT CASE WHEN label < 5 THEN 'article_' ELSE 'case_' END || vec_id AS id, vec_id AS doc_id, label::BIGINT AS label FROM embeddings WHERE (vec_id = 42 AND label < 5) OR (vec_id = 7 AND label >= 5)",
     "vector_align_norm": f"WITH {V_SQL} SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE 19.776 END, 6)::DOUBLE AS scaled_norm, CASE WHEN n = 0 THEN 0 ELSE 1 END::DOUBLE AS similarity FROM v",
     "vector_calibrate": f"WITH {V_SQL}, c AS (SELECT avg(n) AS corpus_norm, avg(n) FILTER (doc_id % 100 = 0) AS query_norm FROM v) SELECT doc_id AS qid, round(n * corpus_norm / query_norm, 6) AS norm, round(corpus_norm, 6) AS corpus_norm, round(query_norm, 6) AS query_norm, round(corpus_norm / query_norm, 6) AS scale FROM v, c WHERE doc_id % 100 = 0",
+    "vector_allpairs_stats": f"""WITH {V_SQL}, s AS (SELECT * FROM v ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 50), p AS (SELECT CASE WHEN q.n * d.n = 0 THEN 0 ELSE list_inner_product(q.e, d.e) / (q.n * d.n) END AS x FROM s q JOIN s d ON q.doc_id < d.doc_id)
+SELECT count(*) AS pairs, round(avg(x), 6) AS mean_similarity, round(stddev_pop(x), 6) AS std_similarity, round(min(x), 6) AS min_similarity, round(max(x), 6) AS max_similarity FROM p""",
     "bm25_index_stats": f"WITH {bm_run()} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {bm_top(K)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm",
     "bm25_query_boosted": "WITH "
