@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled texts that the classifier is fitted on at most (about, chosen by a hash), and its words.
-LABELLED, WORDS = 20_000, 3_000
+#: Labelled texts that the classifier is fitted on at most (about, chosen by a hash), its words, and what large weights cost.
+LABELLED, WORDS, RIDGE = 20_000, 3_000, 0.05
+#: Letters that stand for all words that begin with them.
+STEM = 4
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*"
@@ -100,7 +102,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 def viterbi(seen: str, cost: np.ndarray) -> str:
     """The likeliest plain text (letters and blanks) for a disguised piece of text."""
     seen = seen.lower()
-    start = (0, 0, "")  # symbols of the last two letters written, the last character read
+    start = (0, 0, "")  # symbols of the last two letters written, the last letter if it can be repeated
     best: dict[tuple, tuple[float, tuple | None]] = {start: (0.0, None)}
     for c in seen:
         options = [(x, ALIKE) for x in LOOKALIKES.get(c, "")]
@@ -120,11 +122,11 @@ def viterbi(seen: str, cost: np.ndarray) -> str:
                     if s == 0 and b == 0:
                         step, state, link = price, (a, b, ""), path
                     else:
-                        step, state, link = price + float(cost[a, b, s]), (b, s, c), (x, path)
+                        step, state, link = price + float(cost[a, b, s]), (b, s, x.strip()), (x, path)
                 if state not in following or spent + step < following[state][0]:
                     following[state] = (spent + step, link)
-            if last == c and b != 0 and c not in SEPARATORS:
-                state = (a, b, c)
+            if last and any(x == last for x, _ in options):
+                state = (a, b, last)
                 if state not in following or spent + AGAIN < following[state][0]:
                     following[state] = (spent + AGAIN, path)
         best = following
@@ -142,7 +144,7 @@ def viterbi(seen: str, cost: np.ndarray) -> str:
 
 @dataclass
 class Words:
-    """The (document, word) pairs of a slice of texts after restoration."""
+    """The (document, word) pairs of a slice of texts after restoration; longer words also count by their first letters."""
 
     document: np.ndarray
     word: np.ndarray
@@ -180,6 +182,7 @@ class Restorer:
         documents = np.repeat(np.arange(len(texts)), np.diff(offsets))
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         size = len(coded.dictionary)
+        keep = ~odd[which] if len(which) else np.zeros(0, bool)
         more_words: list[str] = []
         more_documents, more_which = [], []
         if odd.any():
@@ -199,7 +202,10 @@ class Restorer:
                     more_which.append(size + len(more_words))
                     more_words.append(word)
         vocabulary = pa.concat_arrays([plain.cast(pa.string()), pa.array(more_words, pa.string())]) if more_words else plain
-        return Words(np.concatenate([documents, np.array(more_documents, np.int64)]), np.concatenate([which, np.array(more_which, np.int64)]), vocabulary)
+        document, word = np.concatenate([documents[keep], np.array(more_documents, np.int64)]), np.concatenate([which[keep], np.array(more_which, np.int64)])
+        long = pc.greater(pc.utf8_length(vocabulary), STEM).to_numpy(zero_copy_only=False)[word] if len(word) else np.zeros(0, bool)
+        stems = pc.binary_join_element_wise(pc.utf8_slice_codeunits(vocabulary, 0, STEM), "*", "")
+        return Words(np.concatenate([document, document[long]]), np.concatenate([word, word[long] + len(vocabulary)]), pa.concat_arrays([vocabulary, stems]))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -214,39 +220,61 @@ class Model:
     bias: float
 
     def scores(self, restorer: Restorer, texts: pa.Array) -> np.ndarray:
-        document, word, n = features(restorer, texts, pa.array(self.words, pa.string()))
-        z = self.bias + np.bincount(document, weights=self.weights[word] * np.log1p(n), minlength=len(texts))
+        document, word = features(restorer, texts, pa.array(self.words, pa.string()))
+        z = self.bias + np.bincount(document, weights=self.weights[word], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def features(restorer: Restorer, texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, known word, count) of a slice of texts."""
+def features(restorer: Restorer, texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, known word) of a slice of texts, each pair once."""
     found = restorer.words(texts)
     index = pc.fill_null(pc.index_in(found.vocabulary, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[found.word] if len(known) and len(found.word) else np.full(len(found.word), -1)
     hit = index >= 0
-    pair, n = np.unique(found.document[hit] * max(1, len(known)) + index[hit], return_counts=True)
-    return pair // max(1, len(known)), pair % max(1, len(known)), n
-
-
-def logistic_regression(document: np.ndarray, word: np.ndarray, value: np.ndarray, label: np.ndarray, size: int, ridge: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent."""
-    w, bias = np.zeros(size), math.log((label.sum() + 1) / (len(label) - label.sum() + 1))
-    scale = 0.25 * max(1.0, np.bincount(document, weights=value**2, minlength=len(label)).max(initial=0) * np.sqrt(np.bincount(word, minlength=size).max(initial=1))) + ridge
-    v, vb, old, old_b = w.copy(), bias, w.copy(), bias
-    for k in range(steps):
-        z = vb + np.bincount(document, weights=v[word] * value, minlength=len(label))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
-        w = v - (np.bincount(word, weights=error[document] * value, minlength=size) + ridge * v) / scale
-        bias = vb - error.sum() / (0.25 * len(label) + 1)
-        move = k / (k + 3)
-        v, vb, old, old_b = w + move * (w - old), bias + move * (bias - old_b), w, bias
-    return w, float(bias)
+    pair = np.unique(found.document[hit] * max(1, len(known)) + index[hit])
+    return pair // max(1, len(known)), pair % max(1, len(known))
+
+
+def logistic_regression(document: np.ndarray, word: np.ndarray, label: np.ndarray, size: int, ridge: float = RIDGE, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's method, whose steps are found with conjugate gradients and halved where they overshoot."""
+    n = len(label)
+    times = lambda w: np.bincount(document, weights=w[word], minlength=n) + w[size]
+    back = lambda z: np.append(np.bincount(word, weights=z[document], minlength=size), z.sum())
+    damp = np.append(np.full(size, ridge), 1e-3)
+    loss = lambda w, z: np.logaddexp(0, z).sum() - z @ label + 0.5 * (damp * w) @ w
+    w = np.zeros(size + 1)
+    z = times(w)
+    now = loss(w, z)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        curve = np.maximum(p * (1 - p), 1e-6)
+        residual = -(back(p - label) + damp * w)
+        step, direction, power = np.zeros(size + 1), residual.copy(), residual @ residual
+        start = power
+        for _ in range(60):
+            if power <= 1e-8 * start or power < 1e-16:
+                break
+            bent = back(curve * times(direction)) + damp * direction
+            rate = power / (direction @ bent)
+            step += rate * direction
+            residual -= rate * bent
+            before, power = power, residual @ residual
+            direction = residual + power / before * direction
+        scale = 1.0
+        while scale > 1e-4 and loss(w + scale * step, times(w + scale * step)) > now:
+            scale /= 2
+        w = w + scale * step
+        z = times(w)
+        last, now = now, loss(w, z)
+        if last - now < 1e-6 * abs(now):
+            break
+    return w[:size], float(w[size])
 
 
 def fit(corpus: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = LABELLED, size: int = WORDS) -> Model:
     """Learn the language model from all texts of `corpus` and the classifier from `labelled` (key, text, label).
 
-    The words are those that tell the classes apart best (likelihood ratio of their document counts), at most `size`.
+    The words are those of label 1 that tell the classes apart best (likelihood ratio of their document counts), at most
+    `size`.  Words of the other class are left out, so that much harmless text around a word never outweighs it.
     """
     cost = language_model(trigram_counts(corpus, text))
     rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(key, text).alias("_hash"))
@@ -284,21 +312,20 @@ def fit(corpus: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str =
     side = lambda k, of: F.when(k > 0, k * F.log(k * all_rows / ((a + b) * of))).otherwise(0.0)
     rest = lambda k, of: F.when(of - k > 0, (of - k) * F.log((of - k) * all_rows / ((all_rows - a - b) * of))).otherwise(0.0)
     ratio = side(a, n1) + side(b, n0) + rest(a, n1) + rest(b, n0)
-    best = counts.where((F.col("word") != "") & (a + b >= 3)).withColumn("ratio", ratio).orderBy(F.desc("ratio"), "word").limit(size)
+    best = counts.where((F.col("word") != "") & (a + b >= 3) & (a * n0 > b * n1)).withColumn("ratio", ratio).orderBy(F.desc("ratio"), "word").limit(size)
     words = [r.word for r in best.select("word").collect()]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, known = Restorer(cost), pa.array(words, pa.string())
         for batch in batches:
             for part in common.slices(batch, "text"):
-                document, word, n = features(restorer, common.texts_of(part), known)
+                document, word = features(restorer, common.texts_of(part), known)
                 ends = np.searchsorted(document, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(n, pa.int64()))], ["label", "word", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word, pa.int64()))], ["label", "word"])
 
-    got = rows.select("text", "label").mapInArrow(collect, "label int, word array<long>, n array<long>").toArrow()
+    got = rows.select("text", "label").mapInArrow(collect, "label int, word array<long>").toArrow()
     sizes = pc.list_value_length(got["word"]).to_numpy()
-    flat = lambda c: pc.list_flatten(got[c]).to_numpy()
-    weights, bias = logistic_regression(np.repeat(np.arange(len(sizes)), sizes), flat("word"), np.log1p(flat("n")), got["label"].to_numpy(), max(1, len(words)))
+    weights, bias = logistic_regression(np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(got["word"]).to_numpy(), got["label"].to_numpy(), max(1, len(words)))
     return Model(cost, words, weights, bias)
 
 
