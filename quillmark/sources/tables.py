@@ -118,7 +118,7 @@ def statute_articles(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     parts = whole.select(F.explode(F.split("value", r"(?m)(?=^#*\s*第[0-9]+条)")).alias("part"))
     number = F.regexp_extract("part", r"^#*\s*第([0-9]+)条", 1)
-    return parts.where(number != "").select(number.cast("int").alias("number"), F.trim(F.regexp_replace("part", r"^#*\s*第[0-9]+条", "")).alias("body"))
+    return parts.where(number != "").select(number.cast("int").alias("number"), F.regexp_replace("part", r"^#*\s*第[0-9]+条\s*|\s+$", "").alias("body"))
 
 
 def save_vectors(df: DataFrame, path: str) -> DataFrame:
