@@ -1,7 +1,6 @@
 """Exact vector search: cosine top-k of a query set against all rows, norm alignment and vector statistics.
 
-Search multiplies blocks: every task holds the query matrix (a stated query set of a checked size, in parts if it is
-larger) and emits only each block's k best rows per query, so what is shuffled grows with queries and tasks, not with the
+Search multiplies blocks: a task holds a block of queries (a stated query set, in parts if it is large) and emits only each block's k best rows per query, so what is shuffled grows with queries and tasks, not with the
 table.  A zero vector has similarity 0 with everything.
 """
 
@@ -18,6 +17,7 @@ from .ranking import COMPARED, ranked
 
 #: Queries multiplied at once.
 QUERY_BLOCK = 2_000
+FOUND = "qid long, doc_id long, doc_type string, score double"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,46 +54,68 @@ def matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
 
 def search(corpus: DataFrame, queries: DataFrame, k: int, by_type: bool = False, threshold: float | None = None) -> DataFrame:
     """(qid, doc_id, doc_type, score, rank): the k most similar rows of `corpus` (doc_id, doc_type, vector) for each of
-    `queries` (qid, vector); with `by_type`, k of each type."""
-    asked = [(r.qid, r.vector) for r in queries.orderBy("qid").toLocalIterator() if r.vector]
-    group = ("qid", "doc_type") if by_type else ("qid",)
-    found = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = block_search(corpus, asked[at : at + QUERY_BLOCK], k, by_type, threshold)
-        found = part if found is None else found.unionByName(part)
-    return ranked(found, *group).where(F.col("rank") <= k)
-
-
-def block_search(corpus: DataFrame, asked: list, k: int, by_type: bool, threshold: float | None) -> DataFrame:
-    """Each block's k best rows for each query."""
+    `queries` (qid, vector); with `by_type`, k of each type.
+
+    A counted, small query set travels with the tasks.  A larger one is cut into blocks, which meet chunks of the corpus.
+    """
+    asked = queries.where("vector IS NOT NULL AND size(vector) > 0").select("qid", "vector")
+    n = asked.count()
+    rows = corpus.select("doc_id", "doc_type", "vector")
+    if n <= QUERY_BLOCK:
+        own = [(r.qid, r.vector) for r in asked.orderBy("qid").collect()]
+        found = rows.mapInArrow(lambda batches: (best_of_block(batch, own, k, by_type, threshold) for batch in batches), FOUND)
+    else:
+        found = block_product(rows, asked, -(-n // QUERY_BLOCK), k, by_type, threshold)
+    return ranked(found, *(("qid", "doc_type") if by_type else ("qid",))).where(F.col("rank") <= k)
+
+
+def best_of_block(batch: pa.RecordBatch, asked: list, k: int, by_type: bool, threshold: float | None) -> pa.RecordBatch:
+    """The k best rows of a batch (doc_id, doc_type, vector) for each query."""
+    if not batch.num_rows or not asked:
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.float64())], ["qid", "doc_id", "doc_type", "score"])
     ids = np.array([q for q, _ in asked], np.int64)
-    dimension = len(asked[0][1]) if asked else 0
+    dimension = len(asked[0][1])
     wanted = unit(np.array([v for _, v in asked], np.float64).reshape(len(asked), dimension))
+    good, rows = matrix(batch.column("vector"), dimension)
+    docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[good]
+    kinds = np.array(batch.column("doc_type").to_pylist(), object)[good]
+    scores = wanted @ unit(rows).T
+    places = np.round(scores, COMPARED)
+    which, column = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for kind in np.unique(kinds.astype(str)) if by_type else [None]:
+        own = np.flatnonzero(kinds == kind) if by_type else np.arange(len(docs))
+        for q in range(len(ids)):
+            value = places[q, own]
+            near = own if len(own) <= k else own[value >= np.partition(value, len(own) - k)[len(own) - k]]
+            near = near[np.lexsort((docs[near], -places[q, near]))[:k]]
+            if threshold is not None:
+                near = near[scores[q, near] >= threshold]
+            which.append(np.full(len(near), q))
+            column.append(near)
+    q, d = np.concatenate(which), np.concatenate(column)
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(kinds[d], pa.string()), pa.array(scores[q, d])], ["qid", "doc_id", "doc_type", "score"])
+
+
+def block_product(rows: DataFrame, asked: DataFrame, blocks: int, k: int, by_type: bool, threshold: float | None) -> DataFrame:
+    """Every chunk of the corpus (a row with a batch of vectors) with every block of queries (a row of bounded size)."""
+    block = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "vector")).alias("asked"))
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ends = pa.array([0, batch.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("doc_id", "doc_type", "vector")], ["doc_id", "doc_type", "vector"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            good, rows = matrix(batch.column("vector"), dimension)
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[good]
-            kinds = np.array(batch.column("doc_type").to_pylist(), object)[good]
-            scores = wanted @ unit(rows).T
-            places = np.round(scores, COMPARED)
-            for kind in np.unique(kinds.astype(str)) if by_type else [None]:
-                own = np.flatnonzero(kinds == kind) if by_type else np.arange(len(docs))
-                which, column = [], []
-                for q in range(len(ids)):
-                    value = places[q, own]
-                    near = own if len(own) <= k else own[value >= np.partition(value, len(own) - k)[len(own) - k]]
-                    near = near[np.lexsort((docs[near], -places[q, near]))[:k]]
-                    if threshold is not None:
-                        near = near[scores[q, near] >= threshold]
-                    which.append(np.full(len(near), q))
-                    column.append(near)
-                q, d = np.concatenate(which), np.concatenate(column)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(kinds[d], pa.string()), pa.array(scores[q, d])], ["qid", "doc_id", "doc_type", "score"])
-
-    return corpus.select("doc_id", "doc_type", "vector").mapInArrow(run, "qid long, doc_id long, doc_type string, score double")
+            for n in range(batch.num_rows):
+                own = [(r["qid"], r["vector"]) for r in batch.column("asked")[n].as_py()]
+                part = pa.RecordBatch.from_arrays([batch.column(c)[n].values for c in ("doc_id", "doc_type", "vector")], ["doc_id", "doc_type", "vector"])
+                yield best_of_block(part, own, k, by_type, threshold)
+
+    chunks = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_type", "vector").mapInArrow(chunk, f"doc_id array<long>, doc_type array<string>, vector array<{kind}>")
+    return chunks.crossJoin(block.select("asked")).mapInArrow(product, FOUND)
 
 
 def rescaled(a: Column, target: float | Column) -> Column:

@@ -33,6 +33,16 @@ def test_search_keeps_ties_in_order_and_zero_vectors_at_zero(spark):
     assert vector.search(corpus.limit(0), asked, 3).count() == 0
 
 
+def test_large_query_sets_are_searched_in_blocks(spark, monkeypatch):
+    rows = [(i, "AB"[i % 2], [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, doc_type string, vector array<float>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(9)] + [(50, None), (51, [])], "qid long, vector array<float>")
+    own = lambda: sorted((r.qid, r.doc_id, r.rank, round(r.score, 9)) for r in vector.search(corpus, asked, 4, by_type=True).collect())
+    whole = own()
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
+    assert own() == whole and len(whole) == 9 * 8
+
+
 def test_rescaling_keeps_the_cosine(spark):
     row = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0])], "a array<float>, b array<float>")
     scaled = row.withColumn("c", vector.rescaled(F.col("a"), 19.776))
