@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Rows of an Arrow batch that Spark hands to Python.
 BATCH_ROWS = 2_000
 
