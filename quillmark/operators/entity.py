@@ -152,8 +152,8 @@ def sentence(death: Column, life: Column, months: Column, fine: Column, fact: Co
 
 def statutes(text: Column, most: int = 5) -> Column:
     """Passages that name an article, else long sentences; the first few."""
-    named = F.filter(F.transform(F.split(text, "(?=第[0-9]+条)"), F.trim), lambda x: x.rlike("^第[0-9]+条"))
-    long = F.filter(F.transform(F.split(text, "[。；;]"), F.trim), lambda x: F.length(x) > 20)
+    named = F.filter(F.transform(F.split(text, "(?=第[0-9]+条)"), lambda x: F.trim(x)), lambda x: x.rlike("^第[0-9]+条"))
+    long = F.filter(F.transform(F.split(text, "[。；;]"), lambda x: F.trim(x)), lambda x: F.length(x) > 20)
     return F.slice(F.when(F.size(named) > 0, named).otherwise(long), 1, most)
 
 

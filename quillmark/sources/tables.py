@@ -58,7 +58,7 @@ def any_of(df: DataFrame, names: tuple[str, ...], kind: str) -> Column:
 
 def split_list(text: Column) -> Column:
     """A comma-separated text as a list without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,，]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def as_list(df: DataFrame, name: str) -> Column:
