@@ -2,7 +2,8 @@
 
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches of fixed patterns whose checks (parts of an
 address, Luhn's sum, numbers of digits) hold; they are always kept.  Around anything that could be personal data the text
-is cut into tokens, and segments of a bounded number of tokens are candidates.  Features of a whole segment (its shape,
+is cut into tokens; segments of a bounded number of tokens are candidates, and so are whole addresses, whole runs of
+digits and base spans of any number of tokens.  Features of a whole segment (its shape,
 digits, separators, checks and neighbours) score it for each type; dynamic programming over segment ends and types finds
 the best boundaries and types together.  A found segment becomes a span if it beats reading its tokens as plain text by a
 margin and touches no base span.  Weights are learned by gradient steps on the likelihood of segmentations of a sample,
@@ -13,10 +14,13 @@ Null texts count as empty; positions are code points.  Rows are independent of e
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from dataclasses import field as attribute
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,12 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"([0-9][ -]?){15}[0-9]", "phone": r"\+[0-9]"}
 TRIGGER_RE2 = r"@|[0-9][0-9 ().-]{7,}[0-9]|(?i:[\[(]at[\])])|(?i: at [\pL0-9.-]+ dot )"
 TRIGGER = re.compile(r"@|[0-9][0-9 ().-]{7,}[0-9]|[\[(]at[\])]| at (?=[^\W_][\w.-]* dot )", re.IGNORECASE)
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-#: Tokens of a segment, code points looked at on both sides of a sign, documents of the sample, passes, steps, margin.
+TOKEN = re.compile(r"[\[(](?:at|dot)[\])]|[^\W\d_]+|[0-9]+|\S", re.IGNORECASE)
+#: Whole addresses in any form, and whole runs of digits: candidates of any length.
+ADDRESS = re.compile(r"(?<![\w.%+-])[\w.%+-]++(@|\s*[\[(]at[\])]\s*| at )[\w-]++(?:(?:\.|\s*[\[(]dot[\])]\s*| dot )[\w-]++)+", re.IGNORECASE)
+GOES_ON = re.compile(r"(?:\.|\s*[\[(]dot[\])]\s*| dot )[\w-]", re.IGNORECASE)
+DIALLED = re.compile(r"[+(]?[0-9](?:[ ()./-]*+[0-9])*+")
+#: Tokens of other segments, code points looked at on both sides of a sign, documents of the sample, passes, steps, margin.
 LONGEST, AROUND, SAMPLE, EPOCHS, RATE, MARGIN = 14, 32, 300, 4, 0.15, 2.0
 
 
@@ -95,37 +103,63 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Window:
-    """Tokens of a piece of text as (start, end) in the whole text."""
+    """Tokens of a piece of text as (start, end) in the whole text, and spans that are candidates besides all others."""
 
     text: str
     tokens: list[tuple[int, int]]
+    spans: list[tuple[int, int]] = attribute(default_factory=list)
 
 
-def windows(text: str, around: int = AROUND) -> Iterator[Window]:
-    """The pieces of text around signs of personal data; pieces that touch are one."""
+def window(text: str, begin: int, end: int, spans: Iterable[tuple[int, int]]) -> Window:
+    """The tokens between two positions, cut where one of the spans begins or ends."""
+    spans = [(a, b) for a, b in spans if begin <= a and b <= end]
+    cuts = [begin, *sorted({x for span in spans for x in span} - {begin, end}), end]
+    return Window(text, [t.span() for a, b in itertools.pairwise(cuts) for t in TOKEN.finditer(text, a, b)], spans)
+
+
+def windows(text: str, around: int = AROUND, spans: Iterable[tuple[int, int]] = ()) -> Iterator[Window]:
+    """The pieces of text around signs of personal data; pieces that touch are one.  Given spans are candidates there."""
     begin = end = -1
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - around), min(len(text), m.end() + around)
         if a > end:
             if end > 0:
-                yield Window(text, [t.span() for t in TOKEN.finditer(text, begin, end)])
+                yield window(text, begin, end, spans)
             begin = a
         end = b
     if end > 0:
-        yield Window(text, [t.span() for t in TOKEN.finditer(text, begin, end)])
+        yield window(text, begin, end, spans)
+
+
+def whole_spans(w: Window) -> Iterator[tuple[int, int]]:
+    """Addresses with their whole names, runs of digits and given spans, however many tokens they have."""
+    yield from w.spans
+    begin, end = (w.tokens[0][0], w.tokens[-1][1]) if w.tokens else (0, 0)
+    for m in ADDRESS.finditer(w.text, begin, end):
+        name = m.start() + len(m[0]) - len(m[0].lstrip("._%+-"))
+        host = bisect.bisect_left(w.tokens, (m.end(1),))
+        ends = {m.end(), m.start() + len(m[0].rstrip("_-")), *(b for _, b in w.tokens[host : host + LONGEST] if b <= m.end() and w.text[b - 1].isalnum())}
+        for a in {m.start(), name}:
+            yield from ((a, b) for b in ends)
+    for m in DIALLED.finditer(w.text, begin, end):
+        if len(digits_of(m[0])) >= 7:
+            yield m.span()
 
 
 def segments(w: Window, longest: int = LONGEST) -> Iterator[tuple[int, int, str]]:
     """Candidate segments (first token, token after the last, text): they hold enough digits or an at sign."""
     text, tokens = w.text, w.tokens
+    first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: j + 1 for j, (_, b) in enumerate(tokens)}
+    whole = {(first[a], last[b]) for a, b in whole_spans(w) if a in first and b in last and first[a] < last[b]}
+    yield from ((i, j, text[tokens[i][0] : tokens[j - 1][1]]) for i, j in sorted(whole))
     digits = np.cumsum([0, *(b - a if "0" <= text[a] <= "9" else 0 for a, b in tokens)])
-    ats = np.cumsum([0, *(text[a:b] == "@" or text[a:b].lower() == "at" for a, b in tokens)])
+    ats = np.cumsum([0, *(text[a:b].lower() in ("@", "at", "[at]", "(at)", "[at)", "(at]") for a, b in tokens)])
     ends = [text[b - 1].isalnum() for _, b in tokens]
-    for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
+    for i, (a, e) in enumerate(tokens):
+        if not (text[a].isalnum() or text[a:e] in "+("):
             continue
         for j in range(i + 3, min(len(tokens), i + longest) + 1):
-            if ends[j - 1] and (digits[j] - digits[i] >= 7 or ats[j] - ats[i] == 1):
+            if (i, j) not in whole and ends[j - 1] and (digits[j] - digits[i] >= 7 or ats[j] - ats[i] == 1):
                 yield i, j, text[a : tokens[j - 1][1]]
 
 
@@ -150,7 +184,7 @@ def whole_features(w: Window, i: int, j: int, segment: str) -> list[str]:
         f"digits {len(own)}",
         f"signs {signs}",
         f"edges {edge(before)}{edge(after)}",
-        f"mail {bool(mail)}",
+        f"mail {bool(mail)} {bool(mail and GOES_ON.match(w.text, w.tokens[j - 1][1]))}",
         f"luhn {len(own) >= 16 and luhn(own)} {len(own) in range(16, 20)}",
         f"address {len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}",
         f"dialled {segment[0] in '+('} {8 <= len(own) <= 15}",
@@ -231,11 +265,12 @@ def gradient_step(field: Field, w: Window, gold: set[tuple[int, int, str]], rate
     held, at = np.zeros_like(field.follows), [0] * n
     last, j = 0, 0
     for a, b, kind in sorted(gold):
-        if (a, b) in place:
-            i, j2, ids = place[a, b]
-            y = KINDS.index(kind)
-            np.add.at(field.weights, (ids, y), rate)
-            at[i] = j2 * (kinds + 1) + y + 1
+        if (a, b) not in place:
+            raise ValueError(f"a gold span of type {kind} is not a candidate: {a} to {b}")
+        i, j2, ids = place[a, b]
+        y = KINDS.index(kind)
+        np.add.at(field.weights, (ids, y), rate)
+        at[i] = j2 * (kinds + 1) + y + 1
     while j < n:
         y = at[j] % (kinds + 1)
         held[last, y] += 1
@@ -258,7 +293,12 @@ def rewritten(text: str, kind: str, start: int, end: int, k: int) -> tuple[str,
         new = sign.join(own[x : x + 4] for x in range(0, len(own), 4))
     else:
         return None
-    return text[:start] + new + text[end:], start, start + len(new)
+    text, end = text[:start] + new + text[end:], start + len(new)
+    while start and text[start - 1].isalnum() and text[start].isalnum():  # a whole word, of which the pattern saw a part
+        start -= 1
+    while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    return text, start, end
 
 
 def train(texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> Field:
@@ -272,13 +312,13 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> Field:
         for kind, a, b in spans:
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, kind))
-        some = [(w, {g for g in taken if w.tokens and w.tokens[0][0] <= g[0] and g[1] <= w.tokens[-1][1]}) for w in windows(text)]
+        some = [(w, {g for g in taken if w.tokens and w.tokens[0][0] <= g[0] and g[1] <= w.tokens[-1][1]}) for w in windows(text, spans=[g[:2] for g in taken])]
         examples += [x for x in some if len(x[0].tokens) <= 60][:2]
         for kind in KINDS:
             for _, a, b in [s for s in spans if s[0] == kind][:2]:
                 turn[kind] += 1
                 if other := rewritten(text[max(0, a - 60) : b + 60], kind, min(a, 60), min(a, 60) + b - a, turn[kind]):
-                    examples += [(w, {(other[1], other[2], kind)}) for w in windows(other[0]) if w.tokens and w.tokens[0][0] <= other[1] and other[2] <= w.tokens[-1][1]]
+                    examples += [(w, {(other[1], other[2], kind)}) for w in windows(other[0], spans=[other[1:]]) if w.tokens and w.tokens[0][0] <= other[1] and other[2] <= w.tokens[-1][1]]
     for w, _ in examples:
         field.lattice(w, learn=True)
     field.weights = np.zeros((max(1, len(field.index)), len(KINDS)))
@@ -287,6 +327,9 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> Field:
     for epoch in range(epochs):
         for k in rng.permutation(len(examples)):
             gradient_step(field, *examples[k], rate / (1 + epoch))
+    # Plain tokens must weigh nothing at last, or a long segment would lose to the number of its tokens; gains stay as they are.
+    field.follows[0, 1:] -= 2 * field.follows[0, 0]
+    field.follows[0, 0] = 0
     return field
 
 
@@ -295,7 +338,7 @@ def more_spans(field: Field, text: str, base: list[tuple[str, int, int]], margin
     if not field.index:
         return []
     out = []
-    for w in windows(text):
+    for w in windows(text, spans=[s[1:] for s in base]):
         for kind, a, b, gain in field.decode(w):
             if gain >= margin and all(b <= x or a >= y for _, x, y in base):
                 out.append((kind, a, b))

@@ -87,6 +87,35 @@ def test_the_field_finds_rewritten_data(field, text, kind):
     assert [k for k, _, _ in pii.more_spans(field, text, pii.base_spans(text))] == [kind]
 
 
+FORMS = ["jo.81@mail7.example.com", "jane.doe@mail.example.org", "a.b.c.d.e.f-g_h+9@x-y.z1.co.example.org", ".jo-@-x.example-", "jo81@mail.example.com"]
+
+
+@pytest.mark.parametrize(("kind", "span"), [*(("email", x) for x in FORMS), ("card", "4111 1111 1111 1111"), ("card", "4111 1111 1111 1111 110"), ("phone", "+1 (743) 555-3824"), ("phone", "+1-2-3-4-5-6-7-8-9"), ("phone", "+1 (743) 555 38 24 1 2")])
+@pytest.mark.parametrize("k", range(4))
+def test_every_rewritten_form_is_a_candidate(kind, span, k):
+    text, a, b = pii.rewritten(f"write to {span} ok", kind, 9, 9 + len(span), k)
+    begin, end = max(0, a - 9), min(len(text), b + 3)
+    w = pii.Window(text, [m.span() for m in pii.TOKEN.finditer(text, begin, end)])
+    assert (a, b) in {(w.tokens[i][0], w.tokens[j - 1][1]) for i, j, _ in pii.segments(w)}
+    assert text[a:b] in {segment for _, _, segment in pii.segments(w)}
+
+
+@pytest.mark.parametrize("span", ["jo.81 (at) mail7 (dot) example (dot) com", "jane.doe [at] mail [dot] example [dot] org", "a.b.c.d.e.f.g.h.i [at] x [dot] y [dot] co [dot] uk"])
+def test_the_field_finds_whole_bracketed_addresses(field, span):
+    text = f"mail {span} today"
+    assert pii.more_spans(field, text, pii.base_spans(text)) == [("email", 5, 5 + len(span))]
+
+
+def test_training_fails_if_a_gold_span_is_no_candidate(field):
+    w = next(pii.windows("to a.b@c.de now"))
+    with pytest.raises(ValueError, match="not a candidate"):
+        pii.gradient_step(field, w, {(0, 2, "email")}, 0.1)
+
+
+def test_words_that_a_pattern_saw_a_part_of_are_learned():
+    assert pii.train([*SAMPLE[:3], "éa@b.cd and +1-2-3-4-5-6-7-8-9-0-1-2 x+12345678901 5+1 743 555 3824"]).index
+
+
 @pytest.mark.parametrize("text", ["id 812088970e66a6345cee33dd6 at 12:00:00", "we met at noon at the 3 houses", "1234567890 and 2024-01-01 12:30", "a list: 1, 2, 3, 4, 5, 6, 7, 8, 9", "x@y but no host"])
 def test_the_field_leaves_other_texts_alone(field, text):
     assert pii.more_spans(field, text, pii.base_spans(text)) == []
