@@ -39,8 +39,8 @@ PATTERNS = {
 }
 #: What a text must hold for a base pattern, or for a segment, to be looked for at all.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"([0-9][ -]?){15}[0-9]", "phone": r"\+[0-9]"}
-TRIGGER_RE2 = r"@|[0-9][0-9 ().-]{7,}[0-9]|(?i:[\[(]at[\])])|(?i: at [\pL0-9.-]+ dot )"
-TRIGGER = re.compile(r"@|[0-9][0-9 ().-]{7,}[0-9]|[\[(]at[\])]| at (?=[^\W_][\w.-]* dot )", re.IGNORECASE)
+TRIGGER_RE2 = r"@|[0-9][0-9 ()./-]{6,}[0-9]|(?i:[\[(](at|dot)[\])])|(?i: at [\pL\pN_.-]+ dot )"
+TRIGGER = re.compile(r"@|[0-9][0-9 ()./-]{6,}[0-9]|[\[(](?:at|dot)[\])]| at (?=[\w.-]+ dot )", re.IGNORECASE)
 TOKEN = re.compile(r"[\[(](?:at|dot)[\])]|[^\W\d_]+|[0-9]+|\S", re.IGNORECASE)
 #: Whole addresses in any form, and whole runs of digits: candidates of any length.
 ADDRESS = re.compile(r"(?<![\w.%+-])[\w.%+-]++(@|\s*[\[(]at[\])]\s*| at )[\w-]++(?:(?:\.|\s*[\[(]dot[\])]\s*| dot )[\w-]++)+", re.IGNORECASE)
@@ -118,19 +118,42 @@ def window(text: str, begin: int, end: int, spans: Iterable[tuple[int, int]]) ->
 
 
 def windows(text: str, around: int = AROUND, spans: Iterable[tuple[int, int]] = ()) -> Iterator[Window]:
-    """The pieces of text around signs of personal data; pieces that touch are one.  Given spans are candidates there."""
+    """The pieces of text around signs of personal data, widened so that no word, address, run of digits or given span is
+    cut; pieces that touch are one.  Given spans are candidates there.
+    """
+    runs: list[list[int]] = []
+    for a, b in sorted([*spans, *(m.span() for m in ADDRESS.finditer(text)), *(m.span() for m in DIALLED.finditer(text))]):
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
     begin = end = -1
     for m in TRIGGER.finditer(text):
+        if m.end() + around <= end:
+            continue
         a, b = max(0, m.start() - around), min(len(text), m.end() + around)
+        a, b = over_word(text, a, -1), over_word(text, b, 1)
+        k = bisect.bisect_left(runs, [a])
+        a = runs[k - 1][0] if k and runs[k - 1][1] > a else a
+        k = bisect.bisect_left(runs, [b])
+        b = runs[k - 1][1] if k and runs[k - 1][1] > b else b
+        a, b = over_word(text, a, -1), over_word(text, b, 1)
         if a > end:
             if end > 0:
                 yield window(text, begin, end, spans)
             begin = a
-        end = b
+        end = max(b, end)
     if end > 0:
         yield window(text, begin, end, spans)
 
 
+def over_word(text: str, at: int, step: int) -> int:
+    """The position moved to the beginning (-1) or end (1) of the word that it lies in."""
+    while 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
+        at += step
+    return at
+
+
 def whole_spans(w: Window) -> Iterator[tuple[int, int]]:
     """Addresses with their whole names, runs of digits and given spans, however many tokens they have."""
     yield from w.spans
@@ -294,11 +317,7 @@ def rewritten(text: str, kind: str, start: int, end: int, k: int) -> tuple[str,
     else:
         return None
     text, end = text[:start] + new + text[end:], start + len(new)
-    while start and text[start - 1].isalnum() and text[start].isalnum():  # a whole word, of which the pattern saw a part
-        start -= 1
-    while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
-        end += 1
-    return text, start, end
+    return text, over_word(text, start, -1), over_word(text, end, 1)  # whole words, if the pattern saw a part of one
 
 
 def train(texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> Field:
@@ -318,7 +337,10 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> Field:
             for _, a, b in [s for s in spans if s[0] == kind][:2]:
                 turn[kind] += 1
                 if other := rewritten(text[max(0, a - 60) : b + 60], kind, min(a, 60), min(a, 60) + b - a, turn[kind]):
-                    examples += [(w, {(other[1], other[2], kind)}) for w in windows(other[0], spans=[other[1:]]) if w.tokens and w.tokens[0][0] <= other[1] and other[2] <= w.tokens[-1][1]]
+                    own = [w for w in windows(other[0], spans=[other[1:]]) if w.tokens and w.tokens[0][0] <= other[1] and other[2] <= w.tokens[-1][1]]
+                    if not own:
+                        raise ValueError(f"no window for a rewritten span of type {kind}")
+                    examples += [(w, {(other[1], other[2], kind)}) for w in own]
     for w, _ in examples:
         field.lattice(w, learn=True)
     field.weights = np.zeros((max(1, len(field.index)), len(KINDS)))

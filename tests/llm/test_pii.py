@@ -3,6 +3,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quillmark.llm import pii
@@ -106,6 +108,28 @@ def test_the_field_finds_whole_bracketed_addresses(field, span):
     assert pii.more_spans(field, text, pii.base_spans(text)) == [("email", 5, 5 + len(span))]
 
 
+@pytest.mark.parametrize(
+    ("span", "kind"),
+    [
+        ("1234/5678/9012/3452", "card"),
+        ("jane [at] computing-laboratory.example-university [dot] edu", "email"),
+        ("a.b.c.d.e.f.g.h.i [at] x [dot] y [dot] example [dot] org", "email"),
+        ("a-very-long-name.of-somebody.with-many-parts [at] example-university [dot] edu", "email"),
+    ],
+)
+def test_windows_hold_whole_spans_and_redaction_leaves_nothing(field, span, kind):
+    text = f"send {span} today"
+    assert any(w.tokens[0][0] <= 5 and w.tokens[-1][1] >= 5 + len(span) for w in pii.windows(text))
+    assert pii.more_spans(field, text, pii.base_spans(text)) == [(kind, 5, 5 + len(span))]
+
+
+@pytest.mark.parametrize("text", ["x" * 50 + " a@b " + "y" * 50, "1/2/3/4/5", "a (dot) b", "é at ü_1.x dot y", "x 12345678 y"])
+def test_windows_end_with_words_and_the_first_look_sees_every_sign(text):
+    assert all(a == 0 or not (text[a - 1].isalnum() and text[a].isalnum()) for w in pii.windows(text) for a, _ in w.tokens[:1])
+    assert all(b == len(text) or not (text[b - 1].isalnum() and text[b].isalnum()) for w in pii.windows(text) for _, b in w.tokens[-1:])
+    assert pc.match_substring_regex(pa.array([text]), pii.TRIGGER_RE2)[0].as_py() == bool(pii.TRIGGER.search(text)) == bool(list(pii.windows(text)))
+
+
 def test_training_fails_if_a_gold_span_is_no_candidate(field):
     w = next(pii.windows("to a.b@c.de now"))
     with pytest.raises(ValueError, match="not a candidate"):
