@@ -1,8 +1,8 @@
 """Toxicity scores of text restored by a noisy-channel decoder.
 
-Words that look disguised (digits or signs between letters, a letter three times in a row, single letters in a row with
+Words that look disguised (digits or signs between or after letters, a separator between letters, a letter three times in a row, single letters in a row with
 blanks or signs between them) are lattices: each character was written for itself, for a letter it resembles, as a
-separator, or as one more repetition.  A Viterbi search over the lattice, with the states' last two letters as context of a
+separator, or as one more repetition; signs and digits at the end may be punctuation.  A Viterbi search over the lattice, with the states' last two letters as context of a
 character trigram model of the whole corpus, finds the likeliest plain text.  Words of the restored text are the features
 of a logistic regression.
 
@@ -41,8 +41,10 @@ SELF, AGAIN, ALIKE, SIGN, APART, INSIDE = (-math.log(p) for p in (0.9, 0.3, 0.3,
 SYMBOLS = 64
 SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ ._*-][^\W_]){2,}(?![^\s,;:!?.])")
 SPACED_RE2 = r"(^|\s)[\pL\pN][ ._*-][\pL\pN][ ._*-][\pL\pN]"
-DISGUISED_RE2 = r"[\pL][0-9@$!|+(€£]+[\pL]|^[0-9@$!|+(€£]{1,3}[\pL]{2}|[a-z][._*-][a-z][._*-][a-z]|" + "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+DISGUISED_RE2 = r"[\pL][0-9@$!|+(€£]+[\pL]|^[0-9@$!|+(€£]{1,3}[\pL]{2}|[\pL][0-9@$!|+€£]+$|[\pL][._*-][\pL]|" + "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
 TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "«»“”„’‘…–—¿¡"
+#: Of these, what is never a letter at the end of a word; the others are letters or punctuation there, at equal prices.
+PUNCTUATION = "".join(c for c in TRIM if c == "(" or c not in LOOKALIKES)
 
 
 def symbol(c: str) -> int:
@@ -99,19 +101,19 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def viterbi(seen: str, cost: np.ndarray) -> str:
-    """The likeliest plain text (letters and blanks) for a disguised piece of text."""
+def viterbi(seen: str, cost: np.ndarray, tail: int = 0) -> str:
+    """The likeliest plain text (letters and blanks) for a disguised piece of text, whose last `tail` signs may be punctuation."""
     seen = seen.lower()
     start = (0, 0, "")  # symbols of the last two letters written, the last letter if it can be repeated
     best: dict[tuple, tuple[float, tuple | None]] = {start: (0.0, None)}
-    for c in seen:
+    for k, c in enumerate(seen):
         options = [(x, ALIKE) for x in LOOKALIKES.get(c, "")]
         if c.isalpha():
             options.append((c, SELF))
         elif c in SEPARATORS:
             options += [(" ", APART), ("", INSIDE)]
         else:
-            options.append((" ", SIGN))
+            options.append((" ", ALIKE if k >= len(seen) - tail else SIGN))
         following: dict[tuple, tuple[float, tuple | None]] = {}
         for (a, b, last), (spent, path) in best.items():
             for x, price in options:
@@ -159,7 +161,7 @@ class Restorer:
         if piece not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[piece] = viterbi(piece, self.cost)
+            self.memo[piece] = viterbi(piece, self.cost, len(piece) - len(piece.rstrip(TRIM)))
         return self.memo[piece]
 
     def text(self, text: str) -> str:
@@ -167,8 +169,11 @@ class Restorer:
         text = SPACED.sub(lambda m: self.restore(m[0]), text)
 
         def one(m: re.Match) -> str:
-            core = m[0].rstrip(TRIM)
-            return self.restore(core) + m[0][len(core) :] if pc.match_substring_regex(pa.array([core.lower()]), DISGUISED_RE2)[0].as_py() else m[0]
+            core = m[0].rstrip(PUNCTUATION)
+            if not pc.match_substring_regex(pa.array([core.lower()]), DISGUISED_RE2)[0].as_py():
+                return m[0]
+            plain = self.restore(core)
+            return m[0] if plain == core.rstrip(TRIM).lower() else plain + m[0][len(core) :]
 
         return re.sub(r"\S+", one, text)
 
@@ -178,7 +183,7 @@ class Restorer:
         offsets, flat = common.split_words(low)
         coded = flat.dictionary_encode()
         plain = pc.utf8_trim(coded.dictionary, characters=TRIM)
-        odd = pc.match_substring_regex(pc.utf8_rtrim(coded.dictionary, characters=TRIM), DISGUISED_RE2).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(pc.utf8_rtrim(coded.dictionary, characters=PUNCTUATION), DISGUISED_RE2).to_numpy(zero_copy_only=False)
         documents = np.repeat(np.arange(len(texts)), np.diff(offsets))
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         size = len(coded.dictionary)
@@ -188,7 +193,7 @@ class Restorer:
         if odd.any():
             restored: dict[int, list[int]] = {}
             for i in np.flatnonzero(odd).tolist():
-                parts = self.restore(coded.dictionary[i].as_py().rstrip(TRIM)).split()
+                parts = self.restore(coded.dictionary[i].as_py().rstrip(PUNCTUATION)).split()
                 restored[i] = list(range(size + len(more_words), size + len(more_words) + len(parts)))
                 more_words += parts
             for at in np.flatnonzero(odd[which]).tolist():

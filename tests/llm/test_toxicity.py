@@ -67,6 +67,14 @@ def test_whole_texts_are_restored_and_others_left_alone(cost):
     assert {(0, "moron"), (0, "here"), (2, "idiot")} <= words
 
 
+@pytest.mark.parametrize(("seen", "plain"), [("idi07", "idiot"), ("1d107", "idiot"), ("idio7", "idiot"), ("IDIO7.", "idiot."), ("id.iot", "idiot"), ("mo-ron", "moron"), ("hou53", "house"), ("idiot!!", "idiot!!"), ("moron$$$", "moron$$$"), ("m0r0n!", "moron")])
+def test_signs_at_the_end_are_letters_or_punctuation(cost, seen, plain):
+    restorer = toxicity.Restorer(cost)
+    assert restorer.text(seen) == plain
+    found = restorer.words(pa.array([seen]))
+    assert {found.vocabulary[w].as_py() for w in found.word.tolist()} >= {plain.rstrip(toxicity.TRIM)}
+
+
 def test_trigram_counts_see_every_text(spark):
     docs = spark.createDataFrame([("abc",), ("ABc ab",), (None,), ("",)], "text string")
     counts = toxicity.trigram_counts(docs)
