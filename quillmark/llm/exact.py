@@ -2,13 +2,19 @@
 
 Rows are compared by their normal form (A-Z in lower case; null counts as empty).  The first reading gives each row's
 length and a hash of its first characters.  Lengths are counted, then, for lengths that occur again, the prefix hashes;
-only texts that agree with another in both are read in full for a SHA-256.  Each step counts its groups with partial
+only texts that may agree with another in both are read in full for a SHA-256.  Each step counts its groups with partial
 sums before any exchange and hands on only the keys of groups of two or more: a group of copies of any size is one row of
-such a table, and the joins with it can be split.  Texts are never shuffled.
+such a table, and the joins with it can be split.
 
-Of equal texts the row with the largest id stays.  Ids that repeat share their row's fate (all rows with the largest id
-stay); a null id stays only if no row of its group has an id.  Rows of an empty table give an empty result, and columns
-beyond the id and the text come back as they were, unless they bear a name of the result, which the result then takes.
+What reaches the scan of the texts is a table of slots, numbers that the keys of the second step are folded to.  It has a
+fixed largest size, so it is broadcast at any size of the input, and texts are not exchanged to find out which are read in
+full; a slot shared by chance only costs a hash.
+
+Of equal texts the row with the largest id stays.  In `exact_dedup` ids that repeat share their row's fate (all rows with
+the largest id stay), and a null id stays only if no row of its group has an id.  `keep_one` leaves exactly one row of each
+group: of the rows with the largest id (null if there is no other) one chosen by a hash of all columns.  Rows of an empty table give an
+empty result, and columns beyond the id and the text come back as they were, unless they bear a name of the result, which
+the result then takes.
 """
 
 from __future__ import annotations
@@ -20,9 +26,12 @@ from .common import materialize
 
 #: Characters of the prefix that is hashed in the second step.
 PREFIX = 128
-#: Groups of the second step whose keys (24 bytes each) are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Slots that keys of the second step are folded to: the largest number of rows (8 bytes each) that is broadcast.
+SLOTS = 1 << 20
+#: Names of rows to be dropped (16 bytes each) that are broadcast at most; beyond it the join is exchanged.
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+GROUP = ["_length", "_prefix", "_full"]
 
 
 def normal_form(text: str | Column) -> Column:
@@ -30,31 +39,59 @@ def normal_form(text: str | Column) -> Column:
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
 
 
-def survivors(df: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """The rows whose length and prefix hash are in `pairs`, with `_full` for the text.
+def marked(df: DataFrame, text: str, prefix: int) -> DataFrame:
+    """`df` with what the first two steps compare: `_length` and `_prefix`."""
+    normal = normal_form(text)
+    return df.withColumns({"_length": F.octet_length(normal), "_prefix": F.xxhash64(F.substring(normal, 1, prefix))})
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """(_length, _prefix) that two or more of the marked rows share."""
+    base = materialize(rows.select("_length", "_prefix"), "marked")
+    lengths = materialize(base.groupBy("_length").agg(F.count("*").alias("_size")).where("_size > 1").select("_length"), "lengths")
+    again = base.join(lengths, "_length", "left_semi")
+    return materialize(again.groupBy("_length", "_prefix").agg(F.count("*").alias("_size")).where("_size > 1").select("_length", "_prefix"), "prefixes")
+
+
+def flagged(rows: DataFrame, pairs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Marked rows with `_again`: whether their length and prefix may be among `pairs`."""
+    slot = F.pmod(F.xxhash64("_length", "_prefix"), F.lit(slots)).alias("_slot")
+    taken = materialize(pairs.select(slot).distinct(), "slots").withColumn("_again", F.lit(True))
+    return rows.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", "left").withColumn("_again", F.coalesce("_again", F.lit(False))).drop("_slot")
+
 
-    A `pairs` table of a small, counted size is broadcast and only the survivors are hashed.  Beyond that size every text
-    is hashed where it is read, since to shuffle the texts would cost more than to hash them.
-    """
+def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX, digest: str | None = None) -> DataFrame:
+    """All rows of `df` without its text, with keep_id, group_size and kept, and the full hash of every row if it is named."""
+    reserved = ("keep_id", "group_size", "kept", digest, "_length", "_prefix", "_full", "_slot", "_again", "_keep", "_size")
+    own = [c for c in df.columns if c not in reserved]
+    rows = marked(df.select(*own), text, prefix)
     full = F.sha2(normal_form(text), 256)
-    if pairs.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(pairs), ["_length", "_prefix"], "left_semi").withColumn("_full", full).drop(text)
-    return df.withColumn("_full", full).drop(text).join(pairs, ["_length", "_prefix"], "left_semi")
+    read = flagged(rows, repeated(rows)).withColumn("_full", full if digest else F.when(F.col("_again"), full)).drop(text)
+    read = materialize(read, "read")
+    some = read.where("_again")
+    copies = materialize(some.groupBy(*GROUP).agg(F.max(key).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "copies")
+    lone = read.where("NOT _again").withColumns({"_keep": F.lit(None).cast(df.schema[key].dataType), "_size": F.lit(None).cast("long")})
+    both = lone.unionByName(some.join(copies, GROUP, "left"))
+    keep = F.when(F.col("_size").isNull(), F.col(key)).otherwise(F.col("_keep"))
+    out = [F.col(c) for c in own if c != text] + [keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(keep).alias("kept")]
+    return both.select(*out, *([F.col("_full").alias(digest)] if digest else []))
 
 
-def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """All rows of `df` without its text, with keep_id, group_size and kept."""
-    own = [c for c in df.columns if c not in ("keep_id", "group_size", "kept", "_length", "_prefix", "_full", "_keep", "_size")]
-    normal = normal_form(text)
-    marked = df.select(*own, F.octet_length(normal).alias("_length"), F.xxhash64(F.substring(normal, 1, prefix)).alias("_prefix"))
-    base = materialize(marked.drop(text), "marked")
-    lengths = materialize(base.groupBy("_length").agg(F.count("*").alias("_size")).where("_size > 1").select("_length"), "lengths")
-    again = base.select("_length", "_prefix").join(lengths, "_length", "left_semi")
-    pairs = materialize(again.groupBy("_length", "_prefix").agg(F.count("*").alias("_size")).where("_size > 1").select("_length", "_prefix"), "prefixes")
-    read = materialize(survivors(marked, pairs, text), "survivors")
-    group = ["_length", "_prefix", "_full"]
-    copies = materialize(read.groupBy(*group).agg(F.max(key).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "copies")
-    lone = base.join(pairs, ["_length", "_prefix"], "left_anti").withColumns({"_keep": F.col(key), "_size": F.lit(1)})
-    shared = read.join(copies, group, "left").withColumn("_keep", F.when(F.col("_size").isNull(), F.col(key)).otherwise(F.col("_keep")))
-    both = lone.unionByName(shared.drop("_full"))
-    return both.select(*[c for c in own if c != text], F.col("_keep").alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(F.col("_keep")).alias("kept"))
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
+    """`df` with one row of each group of equal texts."""
+    columns = df.columns
+    rows = marked(df, text, prefix)
+    read = flagged(rows, repeated(rows))
+    lone, some = read.where("NOT _again").select(*columns), read.where("_again").withColumn("_full", F.sha2(normal_form(text), 256))
+    parts = [*GROUP, *(c for c in columns if c != text)]
+    some = some.withColumns({"_a": F.xxhash64(*parts), "_b": F.xxhash64(F.lit(1), *parts)})
+    names = materialize(some.select(key, *GROUP, "_a", "_b"), "survivors")
+    best = materialize(names.groupBy(*GROUP).agg(F.max(F.struct(F.col(key).alias("k"), "_a", "_b")).alias("_best"), F.count("*").alias("_size")).where("_size > 1"), "copies")
+    counted = names.join(best, GROUP).groupBy("_a", "_b").agg(F.count("*").alias("_rows"), F.first((F.col("_a") == F.col("_best._a")) & (F.col("_b") == F.col("_best._b"))).alias("_stays"))
+    gone = materialize(counted.where("_rows > 1 OR NOT _stays"), "gone")
+    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
+    stay = lone.unionByName(some.join(hint(gone.select("_a", "_b")), ["_a", "_b"], "left_anti").select(*columns))
+    twins = gone.where("_stays").select("_a", "_b")  # rows that repeat in all columns
+    if twins.isEmpty():
+        return stay
+    return stay.unionByName(some.join(hint(twins), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*columns))

@@ -57,8 +57,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = F.sha2(exact.normal_form("text"), 256)
-    return exact.exact_dedup(docs.withColumn("text_sha256", digest)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact.exact_dedup(docs, digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 from quillmark.llm import chat, exact
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_exact_dedup(spark, monkeypatch, limit):
-    monkeypatch.setattr(exact, "BROADCAST_ROWS", limit)
+def test_exact_dedup(spark):
     same = "x" * 200
     rows = [(1, "Abc"), (2, "aBC"), (3, "abd"), (4, None), (5, ""), (6, same + "1"), (7, same + "2"), (8, same + "1"), (9, "É"), (10, "é"), (None, "abc"), (None, "lonely text"), (11, "y" * 500_000), (11, "y" * 500_000)]
     docs = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, kept string").withColumn("extra", F.length("text"))
@@ -22,6 +20,28 @@ def test_exact_dedup(spark, monkeypatch, limit):
         key=str,
     )
     assert exact.exact_dedup(docs.limit(0)).count() == 0
+    digests = {r.kept_text: r.full for r in exact.exact_dedup(docs.withColumn("kept_text", F.col("text")), digest="full").collect()}
+    assert digests["Abc"] == digests["aBC"] == hashlib.sha256(b"abc").hexdigest() and digests["\u00c9"] == hashlib.sha256("\u00c9".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_keep_one_row_of_equal_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", limit)
+    rows = [(1, "Abc", "a"), (2, "aBC", "b"), (None, "abc", "c"), (None, "only", "d"), (None, "ONLY", "e"), (3, "twin", "f"), (3, "twin", "f"), (4, "near twin", "g"), (5, None, "h"), (6, "", "i"), (7, "x" * 200 + "1", "j"), (8, "x" * 200 + "2", "k"), (9, "pair", "l"), (9, "pair", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r.source for r in exact.keep_one(docs).collect()]
+    assert len(got) == 8 and {"b", "f", "g", "i", "j", "k"} < set(got) and len({"d", "e"} & set(got)) == 1 and len({"l", "m"} & set(got)) == 1
+    assert exact.keep_one(docs.limit(0)).count() == 0
+
+
+def test_only_survivors_are_read_in_full(spark):
+    """Rows that share length and prefix reach the full hash; the texts pass no exchange on the way."""
+    docs = spark.createDataFrame([(k, f"{k % 7:03d}" + "x" * 200 + f"{k:03d}") for k in range(100)] + [(100 + k, "y" * k) for k in range(100)], "doc_id long, text string")
+    rows = exact.marked(docs, "text", 3)
+    read = exact.flagged(rows, exact.repeated(rows))
+    assert {r.doc_id for r in read.where("_again").collect()} == set(range(100))
+    plan = read.select(F.when(F.col("_again"), F.sha2("text", 256)))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
