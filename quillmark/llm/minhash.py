@@ -11,8 +11,9 @@ links found this way are contracted to components.  Then, in buckets that still
 outside of the largest one are compared with all members of other components, so that no pair of a bucket that could
 join two components stays unseen.
 
-Null texts count as empty.  Rows with a null id take no part (component null, kept).  Rows with equal ids are compared
-each by its own text and take the label of their id.  Further columns are ignored; an empty table gives an empty result.
+Null texts count as empty.  Rows with a null id take no part (component null, kept).  Classes have numbers of their own, so
+rows with equal ids and other texts are compared each by its own text and take the smallest id of what that text reaches.
+Further columns are ignored unless they are asked for; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SLACK = 0.14
 #: Ids of candidates that are broadcast at most (8 bytes each).
 BROADCAST_ROWS = 500_000
 SEED = 20240229
+#: What names a set: its size and two sums of hashes.
+SAME = ["n", "k1", "k2"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,15 +95,21 @@ class Signer:
             np.minimum(least, hashed.min(0), out=least)
         return least
 
+    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Two numbers that name each set."""
+        out = np.zeros((len(sets), 2), np.uint64)
+        for i, own in enumerate(sets):
+            if len(own):
+                out[i] = mix(own).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(own ^ np.uint64(SEED)))
+        return out.view(np.int64)
+
     def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys of two numbers per set, band keys, sketches of the samples and of the set), as signed numbers."""
         n = len(sets)
-        keys = np.zeros((n, 2), np.uint64)
         drawn = np.zeros((n, len(self.scale)), np.uint64)
         whole = np.zeros((n, SET_BITS), np.uint8)
         for i, own in enumerate(sets):
             if len(own):
-                keys[i] = mix(own).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(own ^ np.uint64(SEED)))
                 drawn[i] = self.samples(own)
                 whole[i] = np.bincount((own >> np.uint64(40)).astype(np.int64) % SET_BITS, minlength=SET_BITS) & 1
         bands = np.tile(np.arange(1, self.bands + 1, dtype=np.uint64), (n, 1))
@@ -109,15 +118,15 @@ class Signer:
         places = mix(drawn + np.arange(len(self.scale), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(self.bits)
         flips = np.bincount((places + np.arange(n, dtype=np.uint64)[:, None] * np.uint64(self.bits)).ravel().astype(np.int64), minlength=n * self.bits).reshape(n, self.bits) & 1
         sketch = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
-        return keys.view(np.int64), bands.view(np.int64), sketch, np.packbits(whole, axis=1).view(np.int64)
+        return self.keys(sets), bands.view(np.int64), sketch, np.packbits(whole, axis=1).view(np.int64)
 
 
 def lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
 
 
-def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sketch, parity) of every row."""
+def signatures(df: DataFrame, key: str, text: str, words: int, keep: list[str]) -> DataFrame:
+    """(id, n, k1, k2, bands, sketch, parity, *keep) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -125,10 +134,13 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             for part in common.slices(batch, "text"):
                 sets = shingle_sets(common.texts_of(part), words)
                 keys, bands, sketch, parity = signer.sign(sets)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(bands), lists(sketch), lists(parity)], ["id", "n", "k1", "k2", "bands", "sketch", "parity"])
+                own = [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists(bands), lists(sketch), lists(parity)]
+                yield pa.RecordBatch.from_arrays([*own, *(part.column(c) for c in keep)], ["id", "n", "k1", "k2", "bands", "sketch", "parity", *keep])
 
     common.bounded_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, parity array<long>")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *keep)
+    more = "".join(f", `{c}` {t}" for c, t in df.select(*keep).dtypes)
+    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, parity array<long>" + more)
 
 
 def sketched(df: DataFrame, side: str, *others: str) -> DataFrame:
@@ -152,25 +164,29 @@ def plausible(x: str, y: str, percent: int) -> Column:
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, shingles) of the rows whose (id) is in `wanted`; one row for each id and set."""
+    """(id, shingles) of the classes in `wanted`, read again from the rows with a class's smallest document id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 sets = shingle_sets(common.texts_of(part), words)
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
-
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    small = wanted.count() <= BROADCAST_ROWS
-    some = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-    return some.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
-
-
-def confirm(near: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = materialize(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
-    sets = materialize(sets_of(df, ids, key, text, words), "sets")
+                ends, keys = np.cumsum([0, *map(len, sets)]), signer.keys(sets)
+                own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), own], ["n", "k1", "k2", "shingles"])
+
+    hint = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
+    rows = df.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text"))
+    some = rows.join(hint(wanted.select("first").distinct()), "first", "left_semi").select("text")
+    read = some.mapInArrow(run, "n long, k1 long, k2 long, shingles array<long>")
+    return read.join(hint(wanted.select("id", *SAME)), SAME).select("id", "shingles").dropDuplicates(["id"])  # the same set in all rows of a class
+
+
+def confirm(near: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(classes.select("id", "first", *SAME).join(ids, "id", "left_semi"), "candidates")
+    sets = materialize(sets_of(df, wanted, key, text, words), "sets")
     have = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}"))
     both = near.join(have("a"), "a").join(have("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     similar = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
@@ -189,32 +205,58 @@ def links(classes: DataFrame, df: DataFrame, key: str, text: str, words: int, pe
     stars = members.select(*ordered("id", "lo")).union(members.select(*ordered("id", "hi"))).where("a < b").distinct()
     of = lambda side: sketched(classes, side, F.col("id").alias(side))
     stars = materialize(stars.join(of("a"), "a").join(of("b"), "b").where(plausible("a", "b", percent)).select("a", "b"), "stars")
-    found = confirm(stars, df, key, text, words, percent)
+    found = confirm(stars, classes, df, key, text, words, percent)
     labels = components(found)
     known = materialize(members.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "labelled")
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = materialize(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "mixed")
-    others = materialize(known.join(mixed, "bucket").join(classes.drop("bands"), "id"), "others")
+    others = materialize(known.join(mixed, "bucket").join(classes.select("id", "n", "sketch", "parity"), "id"), "others")
     strays = sketched(others.where("label <> main"), "x", "bucket", F.col("id").alias("x"), F.col("label").alias("lx"))
     crossed = sketched(others, "y", "bucket", "id", "label").join(strays, "bucket").where((F.col("label") != F.col("lx")) & plausible("x", "y", percent))
     crossed = crossed.select(*ordered("id", "x")).distinct().join(stars, ["a", "b"], "left_anti")
     crossed = materialize(crossed, "crossed")
     if crossed.isEmpty():
         return labels
-    more = confirm(crossed, df, key, text, words, percent)
+    more = confirm(crossed, classes, df, key, text, words, percent)
     return labels if more.isEmpty() else components(found.union(more))
 
 
+def grouped(df: DataFrame, key: str, text: str, words: int, percent: int, keep: list[str] = ()) -> DataFrame:
+    """(id, n, component, component_id, *keep) of every row: a number that the rows of a component share (null where no other
+    row is known to be in it) and their smallest id.
+    """
+    signed = materialize(signatures(df, key, text, words, list(keep)), "signatures")
+    alike = signed.where("n > 0 AND id IS NOT NULL").groupBy(*SAME)
+    sides = [F.first(c).alias(c) for c in ("bands", "sketch", "parity")]  # the same in all rows of a class
+    classes = alike.agg(F.min("id").alias("first"), F.count("*").alias("size"), *sides).withColumn("id", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")  # from here on the numbers are fixed
+    labels = links(classes, df, key, text, words, percent)
+    named = classes.select("id", *SAME, "first", "size").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = materialize(named.where("size > 1 OR label IS NOT NULL").select(*SAME, "first", F.coalesce("label", "id").alias("component")), "known")
+    tops = known.groupBy("component").agg(F.min("first").alias("top"))
+    known = materialize(known.join(tops, "component").select(*SAME, "component", "top"), "named")
+    rows = signed.select("id", *SAME, *keep).join(known, SAME, "left")
+    mine = F.col("id").isNotNull()
+    return rows.select("id", "n", F.when(mine, F.col("component")).alias("component"), F.when(mine, F.coalesce("top", "id")).alias("component_id"), *keep)
+
+
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept): one row per row of `df`; the smallest id of a component is kept."""
-    signed = materialize(signatures(df, key, text, words), "signatures")
-    same = ["n", "k1", "k2"]
-    full = signed.where("n > 0 AND id IS NOT NULL")
-    groups = materialize(full.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("size")), "classes")
-    firsts = groups.select(*same, F.col("first").alias("id"))
-    classes = materialize(full.join(firsts, [*same, "id"]).dropDuplicates(["id"]).select("id", "n", "bands", "sketch", "parity"), "firsts")
-    labels = links(classes, df, key, text, words, percent)
-    copies = materialize(groups.where("size > 1").select(*same, "first"), "copies")
-    rows = signed.select("id", *same).join(copies, same, "left").withColumn("first", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("first", "id")))
-    out = rows.join(labels.withColumnRenamed("node", "first"), "first", "left").withColumn("component_id", F.coalesce("label", "first"))
+    out = grouped(df, key, text, words, percent)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """`df` without the rows of a component that are not its first by (id, hash of all columns); null ids come last.
+
+    Rows that repeat in all columns have one name: all of them stay or go.
+    """
+    columns = df.columns
+    name = {"_a": F.xxhash64(*columns), "_b": F.xxhash64(F.lit(1), *columns)}
+    last = F.lit(2**63 - 1) - F.pmod(F.col("_a"), F.lit(1 << 40))  # no document id is as large
+    rows = df.withColumns(name).withColumn("_id", F.coalesce(F.col(key).cast("long"), last))
+    members = materialize(grouped(rows, "_id", text, words, percent, ["_a", "_b"]).where("component IS NOT NULL").select("id", "component", "_a", "_b"), "members")
+    best = members.groupBy("component").agg(F.min(F.struct("id", "_a", "_b")).alias("best"))
+    gone = materialize(members.join(best, "component").where((F.col("_a") != F.col("best._a")) | (F.col("_b") != F.col("best._b"))).select("_a", "_b").distinct(), "gone")
+    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
+    return df.withColumns(name).join(hint(gone), ["_a", "_b"], "left_anti").select(*columns)

@@ -84,6 +84,34 @@ def test_null_ids_and_empty_tables(spark):
     assert minhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def by_rows(rows, words, percent):
+    """Brute force over rows, not ids: each row's smallest reachable id."""
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    top = {k: v[1] for k, v in brute_force(numbered, words, percent).items()}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top[k]] = min(i, least.get(top[k], i))
+    return sorted((i, least[top[k]], i == least[top[k]]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_ids_keep_their_own_links(spark, seed):
+    rng = random.Random(seed)
+    texts = corpus()
+    rows = [(2, texts[0][1]), (2, "z " * 50), (3, texts[0][1]), (4, "z " * 50)] if seed == 0 else [(rng.randrange(40), t) for _, t in texts if t and t.strip()]
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == by_rows(rows, 3, 85)
+
+
+def test_keep_one_of_each_component(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other = base.replace("w59", "x"), " ".join(f"v{k}" for k in range(60))
+    rows = [(2, base, "a"), (2, near, "b"), (2, other, "c"), (5, base, "d"), (None, other, "e"), (None, near, "f"), (None, "lone text", "g"), (7, None, "h"), (7, None, "h"), (None, "lone text", "g2")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()
+    assert len(kept) == 5 and {r.id for r in kept} - {"a", "b", "g", "g2"} == {"c", "h"} and sum(r.id in "ab" for r in kept) == 1 and sum(r.id in ("g", "g2") for r in kept) == 1
+    assert minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, id string").limit(0)).count() == 0
+
+
 def test_sketches(spark):
     rng = np.random.default_rng(0)
     signer, n = minhash.Signer(), 400
