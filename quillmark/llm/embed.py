@@ -9,7 +9,8 @@ Members of a bucket are dealt into blocks of bounded size, and every two blocks
 computed in double precision.  A pair that several buckets hold counts only in the first of them.  A cell sends on its
 members' numbers of links and, for components, one edge for each member of a tree, never the pairs themselves.
 
-Ties and repeated rows are classes of equal vectors; they link with each other.  Vectors that are null, zero, of another
+Ties and repeated rows are classes of equal vectors; they link with each other.  Classes have numbers of their own, so rows
+that repeat an id with other vectors each have the links of their own vector.  Labels and ids are whole numbers.  Vectors that are null, zero, of another
 length than each other or hold null or non-finite components, and vectors with a null label or id, link with nothing (a
 null id has a null component).  Further columns are ignored; an empty table gives an empty result.
 """
@@ -213,14 +214,19 @@ def near_dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     valid = F.col(key).isNotNull() & F.col(label).isNotNull() & x.isNotNull() & F.forall(x, number) & F.exists(x, lambda v: v != 0)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.when(valid, x).alias("embedding"))
-    usable = rows.where("embedding IS NOT NULL")
-    classes = materialize(usable.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("many")), "vectors")
+    rows = rows.withColumns({"h": F.xxhash64("label", "embedding"), "g": F.xxhash64(F.lit(SEED), "label", "embedding")})
+    usable = rows.where("embedding IS NOT NULL").groupBy("label", "h", "g")
+    classes = usable.agg(F.min("id").alias("first"), F.count("*").alias("many"), F.first("embedding").alias("embedding")).withColumn("id", F.monotonically_increasing_id())
+    classes = materialize(classes, "vectors")  # from here on the numbers are fixed
     found = materialize(cells(classes, cosine), "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = materialize(counts.join(labels.withColumnRenamed("node", "id"), "id", "left"), "linked")
-    copies = classes.where("many > 1").select("label", "embedding", F.col("id").alias("first"), "many")
-    named = rows.join(copies, ["label", "embedding"], "left").select("id", F.coalesce("first", "id").alias("first"), F.coalesce("many", F.lit(1)).alias("many"))
-    out = named.join(known.select(F.col("id").alias("first"), "links", F.col("label").alias("top")), "first", "left")
-    out = out.withColumn("component_id", F.coalesce("top", "first"))
-    return out.select(F.col("id").alias(key), (F.col("many") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = counts.join(labels.withColumnRenamed("node", "id").withColumnRenamed("label", "component"), "id", "left")
+    known = classes.select("id", "label", "h", "g", "first", "many").join(linked, "id", "left").where("many > 1 OR links IS NOT NULL")
+    known = materialize(known.withColumn("component", F.coalesce("component", "id")), "linked")
+    tops = known.groupBy("component").agg(F.min("first").alias("top"))
+    known = known.join(tops, "component").select("label", "h", "g", "top", "many", "links")
+    own = rows.select("id", F.when(F.col("embedding").isNotNull(), F.col("label")).alias("label"), "h", "g")
+    out = own.join(known, ["label", "h", "g"], "left").withColumn("component_id", F.coalesce("top", "id"))
+    links = F.coalesce(F.col("many") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    return out.select(F.col("id").alias(key), links.cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -77,3 +77,12 @@ def test_tables(spark, block, monkeypatch):
     want = sorted(((i, n, top, kept and i is not None) for i, n, top, kept in brute_force(rows)), key=str)
     assert got == want
     assert embed.near_dedup(table.limit(0)).count() == 0
+
+
+def test_repeated_ids_keep_their_own_links(spark):
+    """Two rows of id 2 with other vectors, a near copy of each, and a pair of rows that repeat both."""
+    x, y = [1.0] * 8 + [0.0] * 8, [0.0] * 8 + [1.0] * 8
+    near = lambda v: [a + 0.01 * (k % 2) for k, a in enumerate(v)]
+    rows = [(2, x, 0), (2, y, 0), (3, near(x), 0), (4, near(y), 0), (5, y, 1), (5, y, 1)]
+    got = embed.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_force(rows) == [(2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 2, False), (5, 1, 5, True), (5, 1, 5, True)]
