@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,6 +25,8 @@ from . import common
 #: n-grams of a profile, longest n-gram, and the documents of a language that its profile is learned from (about so
 #: many, chosen by a hash of id and text; all of a language that has fewer).
 PROFILE, ORDERS, DOCUMENTS = 400, 3, 2_000
+#: n-grams counted in a task before they are sent on.
+HELD_GRAMS = 2_000_000
 UNKNOWN = "und"
 
 
@@ -109,30 +111,40 @@ class Profiles:
 
 
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", documents: int = DOCUMENTS, size: int = PROFILE) -> Profiles:
-    """Learn a profile for every language from (text, lang); what reaches the driver is bounded by the sample's n-grams."""
+    """Learn a profile for every language from (text, lang); only profiles reach the driver, `size` numbers for each language."""
     labelled = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key, text).alias("_hash"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Profiles({}, size)
     parts = 1 << 30
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(parts, int(parts * documents / n))))])
-    sample = labelled.where(F.pmod("_hash", F.lit(parts)) < share[F.col("lang")]).select("text", "lang")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    shares = common.materialize(counts.select("lang", F.least(F.lit(parts), (F.lit(parts) * (documents / F.col("n"))).cast("long")).alias("share")), "languages")
+    sample = labelled.join(shares, "lang").where(F.pmod("_hash", F.lit(parts)) < F.col("share")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}
+        held = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, own in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
+            total.clear()
+
         for batch in batches:
-            for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                gram, n = ngrams(letters(t))
-                total.setdefault(k, Counter()).update(dict(zip(gram.tolist(), n.tolist(), strict=True)))
-        for k, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
+            for part in common.slices(batch, "text"):
+                for t, k in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    gram, n = ngrams(letters(t.as_py()))
+                    total.setdefault(k, Counter()).update(dict(zip(gram.tolist(), n.tolist(), strict=True)))
+                    held += len(gram)
+                if held > HELD_GRAMS:
+                    yield from told()
+                    held = 0
+        yield from told()
 
     common.bounded_batches(train.sparkSession)
     grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found: dict[str, list] = {k: [] for k in counts}
-    for r in grams.collect():
-        found[r.lang].append((r.gram, r.n))
-    return Profiles({k: ranked(*(np.array(x) for x in zip(*sorted(own), strict=True)), size).astype(np.uint64) for k, own in found.items() if own}, size)
+    best = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in best.select("lang", "gram", "rank").collect():
+        found.setdefault(r.lang, []).append((r.rank, r.gram))
+    return Profiles({k: np.array([gram for _, gram in sorted(own)], np.int64).astype(np.uint64) for k, own in found.items()}, size)
 
 
 def predict(df: DataFrame, profiles: Profiles, keep: list[str | Column], text: str = "text", result: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -144,8 +156,9 @@ def predict(df: DataFrame, profiles: Profiles, keep: list[str | Column], text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [profiles.predict(t.as_py()) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*own, *result])
+            for part in common.slices(batch, "_text"):
+                got = [profiles.predict(t.as_py()) for t in part.column("_text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*own, *result])
 
     common.bounded_batches(df.sparkSession)
     out = inner.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in own) + f", `{result[0]}` string, `{result[1]}` double")
