@@ -1,17 +1,24 @@
 import hashlib
 import itertools
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 from quillmark.llm import pii
 
 
+STATED = {k: re.compile(p.pattern) for k, p in pii.PATTERNS.items()} | {"ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}
+
+
 def plain(text):
-    return [(k, m.start(), m.end()) for k in pii.KINDS for m in pii.PATTERNS[k].finditer(text) if pii.holds(k, m[0])]
+    return [(k, m.start(), m.end()) for k in pii.KINDS for m in STATED[k].finditer(text) if pii.holds(k, m[0])]
 
 
 def test_base_spans_equal_the_patterns():
@@ -95,7 +102,7 @@ FORMS = ["jo.81@mail7.example.com", "jane.doe@mail.example.org", "a.b.c.d.e.f-g_
 @pytest.mark.parametrize(("kind", "span"), [*(("email", x) for x in FORMS), ("card", "4111 1111 1111 1111"), ("card", "4111 1111 1111 1111 110"), ("phone", "+1 (743) 555-3824"), ("phone", "+1-2-3-4-5-6-7-8-9"), ("phone", "+1 (743) 555 38 24 1 2")])
 @pytest.mark.parametrize("k", range(4))
 def test_every_rewritten_form_is_a_candidate(kind, span, k):
-    text, a, b = pii.rewritten(f"write to {span} ok", kind, 9, 9 + len(span), k)
+    text, a, b = pii.rewritten(f"write to {span} ok", kind, 9, 9 + len(span), 3 * k + 1)
     begin, end = max(0, a - 9), min(len(text), b + 3)
     w = pii.Window(text, [m.span() for m in pii.TOKEN.finditer(text, begin, end)])
     assert (a, b) in {(w.tokens[i][0], w.tokens[j - 1][1]) for i, j, _ in pii.segments(w)}
@@ -160,3 +167,74 @@ def test_tables(spark, field):
     assert clean[23].text == "clean text" and "<email>" in clean[22].text and clean[23].spans == "s"
     assert {r.text for r in pii.redact(docs.where("doc_id = 20"), field).collect()} == {None, "é <email>"}
     assert pii.spans_of(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Documents with base spans: some to learn from, others held out."""
+    column = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    signed = [t for t in column if t and pii.base_spans(t)]
+    random.Random(1).shuffle(signed)
+    return signed[:150], signed[150:]
+
+
+def test_other_forms_of_held_out_spans_are_found(texts):
+    """Recall and precision of what the field adds, for every form of spans in documents that it has not seen."""
+    field = pii.train(texts[0])
+    wanted, found, right = Counter(), Counter(), Counter()
+    for text in texts[1][:120]:
+        for kind, a, b in pii.base_spans(text):
+            for k in range(1, len(pii.forms(text[a:b], kind))):
+                other, x, y = pii.rewritten(text[max(0, a - 60) : b + 60], kind, min(a, 60), min(a, 60) + b - a, k)
+                base = pii.base_spans(other)
+                more = pii.more_spans(field, other, base)
+                if (kind, x, y) not in base:
+                    wanted[kind] += 1
+                    right[kind] += (kind, x, y) in more
+                found[kind] += len(more)
+    assert set(wanted) == {"email", "card", "phone"}
+    for kind in wanted:
+        assert wanted[kind] > 50 and right[kind] >= 0.9 * wanted[kind] and right[kind] >= 0.95 * found[kind], (kind, wanted, right, found)
+    plain = [t for t in texts[1][120:] if len(t) < 5_000]
+    assert sum(len(pii.more_spans(field, t, pii.base_spans(t))) for t in plain) <= 0.02 * len(plain)
+
+
+@pytest.mark.parametrize("text", ["ring (030) 123-4567 now", "ring 1 826 555 4081 ok", "bob[at]mail[dot]org", "write to bob.lee (at) mail (dot) org"])
+def test_forms_that_no_pattern_knows(field, text):
+    assert len(pii.more_spans(field, text, pii.base_spans(text))) == 1
+
+
+@pytest.mark.parametrize("text", ["1" * 100_000, "1." * 50_000, "1 " * 50_000, "+" + "1" * 100_000, "a at " * 20_000, "(" * 50_000, "1(" * 20_000])
+def test_long_runs_take_linear_time(field, text):
+    began = time.process_time()
+    base = pii.base_spans(text)
+    assert time.process_time() - began < 1
+    pii.more_spans(field, text, base)
+    assert time.process_time() - began < 8
+
+
+def slowest_decoding(field, w):
+    """The best segmentation of a window by looking at all of them."""
+    known = {(i, j): ids for j, own in enumerate(field.lattice(w)) for i, ids, _ in own}
+    best, found = -np.inf, []
+    for parts in all_segmentations(len(w.tokens), list(known)):
+        last, total, own = 0, 0.0, []
+        for i, j, y in parts:
+            gain = field.weights[known[i, j], y - 1].sum() if y else 0.0
+            total += field.follows[last, y] + gain
+            if y:
+                own.append((pii.KINDS[y - 1], w.tokens[i][0], w.tokens[j - 1][1], gain + field.follows[last, y] + field.follows[y, 0] - 2 * field.follows[0, 0]))
+            last = y
+        if total > best:
+            best, found = total, own
+    return found
+
+
+@pytest.mark.parametrize("text", ["x 4111.1111.1111.1111 y", "bob[at]mail[dot]org", "a.b@c.de or bob (at) c (dot) de", "ring (030) 123-4567", "ring 1 826 555 4081", "on 2024-01-01 at 10", "10.0.0.1"])
+def test_spans_equal_brute_force(field, text):
+    """The whole answer for short texts: patterns, and of all segmentations of each window the best."""
+    base = plain(text)
+    more = [s for w in pii.windows(text, spans=[s[1:] for s in base]) for s in slowest_decoding(field, w)]
+    want = [(k, a, b) for k, a, b, gain in more if gain >= pii.MARGIN and all(b <= x or a >= y for _, x, y in base)]
+    got = list(pii.find(field, pa.array([text])))
+    assert got == [(base, pii.by_kind(base + want))]
