@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import json
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +18,23 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4_000_000
-#: Rows of an Arrow batch that Spark hands to Python.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch that Spark hands to Python.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
+#: Sub-folder of the shared folder that tables are written to just now.
+_SCRATCH: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (tests) an own one is made and set."""
+    """The folder all executors share; only a local session that names none gets one of its own, once."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="quillmark-")
+        if current.isDefined():
+            folder = current.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="quillmark-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -32,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_SCRATCH.get()}{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -40,6 +50,33 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with Hadoop's file API."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that `materialize` writes inside are removed at the end; the function it gives writes one that stays."""
+    before = _SCRATCH.get()
+    own = f"{before}scratch-{uuid.uuid4().hex}/"
+    token = _SCRATCH.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _SCRATCH.set(before)
+        try:
+            return materialize(df, name)
+        finally:
+            _SCRATCH.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, f"{shared_dir(spark)}/{own}")
+
+
 def put_shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Store bytes in the shared folder with Hadoop's file API, hand them to the executors, return the file's name."""
     jvm = spark.sparkContext._jvm
@@ -55,27 +92,31 @@ def put_shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return unique
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the Arrow batches of long texts small; a smaller value set by the user stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000") or 10000)
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep the Arrow batches of long texts small: sets the session's bounds on rows and bytes, where its own are larger.
+
+    The bounds are read when a plan runs, so they stay set for the session; they change no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch of about `limit` bytes in `column`, one row at least."""
+    """Consecutive slices of a batch of about `limit` bytes in `column`, one row at least.
+
+    What Arrow has freed is given back to the system after each slice, since workers live on between tasks.
+    """
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    if size[-1] <= limit:
-        yield batch
-        return
     begin = 0
     while begin < batch.num_rows:
         base = size[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(size, base + limit, side="right")))
         yield batch.slice(begin, end - begin)
+        pa.default_memory_pool().release_unused()
         begin = end
 
 
