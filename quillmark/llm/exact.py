@@ -40,9 +40,11 @@ def normal_form(text: str | Column) -> Column:
 
 
 def marked(df: DataFrame, text: str, prefix: int) -> DataFrame:
-    """`df` with what the first two steps compare: `_length` and `_prefix`."""
-    normal = normal_form(text)
-    return df.withColumns({"_length": F.octet_length(normal), "_prefix": F.xxhash64(F.substring(normal, 1, prefix))})
+    """`df` with what the first two steps compare: `_length` and `_prefix`.  The normal form is as long as the text, so that only
+    the prefix is brought into it here.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumns({"_length": F.octet_length(whole), "_prefix": F.xxhash64(normal_form(F.substring(whole, 1, prefix)))})
 
 
 def repeated(rows: DataFrame) -> DataFrame:
