@@ -52,8 +52,17 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def contained(queries: DataFrame, words: DataFrame, text: str = "text", word: str = "word") -> DataFrame:
-    """Queries joined to the words of a vocabulary that they contain."""
-    return queries.join(F.broadcast(words) if words.count() <= 100_000 else words, F.col(text).contains(F.col(word)))
+    """Queries joined to the words (not empty) of a vocabulary that they contain.
+
+    The first characters of words (four, or as many as the shortest has) are looked up among the distinct runs of so many
+    characters of each text; what they lead to is then compared whole.  The join is one of equals at any size.
+    """
+    shortest = words.where(F.length(word) > 0).agg(F.min(F.length(word))).first()[0]
+    width = min(4, shortest or 1)
+    letters = queries.withColumn("_letters", F.split(F.col(text), ""))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_letters") - width), lambda i: F.concat(*[F.get("_letters", i + k) for k in range(width)]))
+    looked = letters.where(F.length(text) >= width).withColumn("_run", F.explode(F.array_distinct(runs))).drop("_letters")
+    return looked.join(words.where(F.length(word) > 0).withColumn("_run", F.substring(word, 1, width)), "_run").where(F.col(text).contains(F.col(word))).drop("_run")
 
 
 def lexicon_crimes(queries: DataFrame) -> DataFrame:

@@ -176,13 +176,33 @@ def star(related: DataFrame, centre: str, node: str, most: int = 10) -> tuple[Da
     return nodes, near.select(F.col(centre).cast("string").alias("source"), F.col(node).cast("string").alias("target"), F.col("case_count").alias("weight"), "confidence")
 
 
+def related_of(entities: DataFrame, articles: DataFrame, crimes: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, kind, word, confidence): the k first articles of each crime and crimes of each article in entities (qid, crime,
+    article); a word that several lead to counts once, with its largest confidence.
+    """
+    to_articles = entities.where("crime IS NOT NULL").select("qid", "crime").join(articles.where(F.col("place") <= k), "crime").select("qid", F.lit("article").alias("kind"), F.col("article").cast("string").alias("word"), "confidence")
+    to_crimes = entities.where("article IS NOT NULL").select("qid", "article").join(crimes.where(F.col("place") <= k), "article").select("qid", F.lit("crime").alias("kind"), F.col("crime").alias("word"), "confidence")
+    return to_articles.unionByName(to_crimes).groupBy("qid", "kind", "word").agg(F.max("confidence").alias("confidence"))
+
+
 def expand(entities: DataFrame, articles: DataFrame, crimes: DataFrame, k: int = 3, used: int = 2) -> DataFrame:
-    """(qid, suggestions, keywords): what the entities (qid, crime, article) of queries lead to."""
-    to_articles = entities.where("crime IS NOT NULL").select("qid", "crime").join(articles.where(F.col("place") <= min(k, used)), "crime").select("qid", F.col("article").cast("string").alias("word"), "confidence")
-    to_crimes = entities.where("article IS NOT NULL").select("qid", "article").join(crimes.where(F.col("place") <= min(k, used)), "article").select("qid", F.col("crime").alias("word"), "confidence")
+    """(qid, keywords, relations, mean_confidence): what the entities (qid, crime, article) of queries lead to."""
+    near = lambda related: related.where(F.col("place") <= min(k, used))
+    to_articles = entities.where("crime IS NOT NULL").select("qid", "crime").join(near(articles), "crime").select("qid", F.col("article").cast("string").alias("word"), "confidence")
+    to_crimes = entities.where("article IS NOT NULL").select("qid", "article").join(near(crimes), "article").select("qid", F.col("crime").alias("word"), "confidence")
     return to_articles.unionByName(to_crimes).groupBy("qid").agg(F.array_sort(F.collect_set("word")).alias("keywords"), F.count("*").alias("relations"), F.avg("confidence").alias("mean_confidence"))
 
 
+def path_articles(related: DataFrame, contents: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, id, article, content, score, place): the graph path's results, up to k related articles of a query with their
+    contents (article, content); `related` is that of `related_of`.
+    """
+    own = Window.partitionBy("qid").orderBy(F.round("confidence", 9).desc(), "word")
+    top = related.where("kind = 'article'").withColumn("place", F.row_number().over(own)).where(F.col("place") <= k)
+    named = top.join(contents.select(F.col("article").cast("string").alias("word"), "content"), "word", "left")
+    return named.select("qid", F.concat(F.lit("article_"), "word").alias("id"), F.col("word").alias("article"), F.coalesce("content", F.lit("")).alias("content"), F.col("confidence").alias("score"), "place")
+
+
 def expansion_quality(entities: Column, relations: Column, confidence: Column) -> Column:
     """0.3 per entity, 0.2 per relation and half of the mean confidence, 1 at most."""
     return F.least(0.3 * entities + 0.2 * relations + 0.5 * F.coalesce(confidence, F.lit(0.0)), F.lit(1.0))

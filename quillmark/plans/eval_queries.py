@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, vector
 from ..operators.ranking import top_k
+from ..session import own_folder
 from ..streaming import trace
 from .common import SIMS_SQL, final, rank_sql, table, vector_queries, vectors
 from .graph_queries import CASES, cases
@@ -145,13 +146,12 @@ def weight_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streaming_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """The tumbling roll-up again, but as a stream over the events' file into a table in memory."""
-    own = events(spark, d)
+    """The tumbling roll-up again, but as a stream over the events' file into a table."""
+    own, folder = events(spark, d), own_folder(spark, "rollup")
     stream = spark.readStream.schema(own.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"rollup_{abs(hash(d))}"
-    trace.to_memory(trace.tumbling(stream), name).awaitTermination()
+    trace.to_table(trace.tumbling(stream), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     plain = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return final(spark.table(name).withColumns(plain))
+    return final(spark.read.parquet(f"{folder}/table").withColumns(plain))
 
 
 JUDGED = f"""WITH {SIMS_SQL}, run AS (SELECT *, {rank_sql()} AS rank, label = qlabel AS rel FROM sims WHERE doc_id <> qid QUALIFY rank <= {WIDE}),

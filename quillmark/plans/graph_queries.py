@@ -6,12 +6,14 @@ its key modulo 240 the months of the sentence.  Where articles are few to a case
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, entity, graph, quality, ranking
+from ..operators import content, entity, fusion, graph, keyword, quality, ranking
 from ..sources import tables
-from .common import documents, final, table, vectors
+from .common import TOKENS, documents, final, table, vectors
 
 STOP = "and are for from that the this was with".split()
 
@@ -97,20 +99,79 @@ def crime_summary(spark: SparkSession, d: str) -> DataFrame:
     return final(graph.crime_summary(cases(spark, d)))
 
 
-def entities(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, crime, article): a brand and a supplier for each conversation, by its id."""
-    asked = table(spark, d, "conversations").select(F.col("conv_id").alias("qid")).distinct()
-    return asked.select("qid", F.concat(F.lit("Brand#"), (F.col("qid") % 25 + 1).cast("string")).alias("crime"), (F.col("qid") % 10).alias("article"))
+def part_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, text): the parts' texts, which name a brand (a crime) and numbers (articles)."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("text"))
+
+
+def entities(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    """(qid, crime, article): the graph's crimes that a text contains, and its numbers that are articles of the graph."""
+    own = edges(spark, d)
+    crimes = entity.contained(asked, own.select("crime").distinct(), word="crime").select("qid", "crime", F.lit(None).cast("long").alias("article"))
+    numbers = asked.select("qid", F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[0-9]{1,9}$")))).alias("n"))
+    articles = numbers.select("qid", F.lit(None).cast("string").alias("crime"), F.col("n").cast("long").alias("article")).join(own.select("article").distinct(), "article", "left_semi")
+    return crimes.unionByName(articles)
+
+
+def related(spark: SparkSession, d: str, asked: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, kind, word, confidence) of what the entities of texts lead to."""
+    own = edges(spark, d)
+    return graph.related_of(entities(spark, d, asked), graph.related_articles(group_edges(spark, d), k), graph.related_crimes(own, k), k)
 
 
 def query_expand(spark: SparkSession, d: str) -> DataFrame:
     own = edges(spark, d)
-    out = graph.expand(entities(spark, d), graph.related_articles(group_edges(spark, d), 3), graph.related_crimes(own, 3))
-    return final(out.withColumn("quality", graph.expansion_quality(F.lit(2), F.col("relations"), F.col("mean_confidence"))))
+    found = entities(spark, d, part_texts(spark, d))
+    many = found.groupBy("qid").agg(F.count("*").alias("entities"))
+    out = graph.expand(found, graph.related_articles(group_edges(spark, d), 3), graph.related_crimes(own, 3)).join(many, "qid")
+    return final(out.withColumn("quality", graph.expansion_quality(F.col("entities"), F.col("relations"), F.col("mean_confidence"))))
 
 
 def explain_search(spark: SparkSession, d: str) -> DataFrame:
-    return graph.explain(entities(spark, d), graph.related_articles(group_edges(spark, d), 3))
+    return graph.explain(entities(spark, d, part_texts(spark, d)), graph.related_articles(group_edges(spark, d), 3))
+
+
+def asked_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: texts of the parts whose key is divisible by a hundred."""
+    return part_texts(spark, d).where(F.col("qid") % 100 == 0)
+
+
+def shelf(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, doc_type, text): suppliers as articles, numbered below zero, and parts as cases."""
+    articles = table(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("doc_id"), F.lit("A").alias("doc_type"), F.concat_ws(" nation ", "s_name", F.col("s_nationkey").cast("string")).alias("text"))
+    return articles.unionByName(part_texts(spark, d).select(F.col("qid").alias("doc_id"), F.lit("B").alias("doc_type"), "text"))
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, word, text): what articles and crimes are searched by."""
+    articles = table(spark, d, "supplier").select(F.lit("article").alias("kind"), F.col("s_suppkey").cast("string").alias("word"), F.col("s_name").alias("text"))
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    return articles.unionByName(brands.select(F.lit("crime").alias("kind"), F.col("p_brand").alias("word"), F.col("p_brand").alias("text")))
+
+
+def shelf_search(spark: SparkSession, d: str) -> Callable[[DataFrame, int], DataFrame]:
+    docs = shelf(spark, d).select("doc_id", "text")
+    return lambda queries, k: keyword.search(docs, queries, k)
+
+
+def graph_enhanced_search(spark: SparkSession, d: str) -> DataFrame:
+    asked = asked_parts(spark, d)
+    out = fusion.graph_enhanced(asked, related(spark, d, asked), names(spark, d), shelf_search(spark, d), 10)
+    return final(out, "qid", "doc_id", "boosted", "appearances", "sources", "rank")
+
+
+def entity_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each crime of the graph as an entity, with its five first articles."""
+    own = group_edges(spark, d)
+    crimes = own.select("crime").distinct().select(F.col("crime").alias("qid"), F.lit("original").alias("source"), F.col("crime").alias("text"))
+    near = graph.related_articles(own, 5).select(F.col("crime").alias("qid"), F.col("article").cast("string").alias("word"))
+    others = near.join(names(spark, d).where("kind = 'article'"), "word").select("qid", F.concat(F.lit("article:"), "word").alias("source"), "text")
+    return final(fusion.entity_focused(crimes.unionByName(others), shelf_search(spark, d), 10), "qid", "doc_id", "boosted", "appearances", "sources", "rank")
+
+
+def graph_path(spark: SparkSession, d: str) -> DataFrame:
+    contents = table(spark, d, "supplier").select(F.col("s_suppkey").alias("article"), F.concat_ws(" nation ", "s_name", F.col("s_nationkey").cast("string")).alias("content"))
+    return final(graph.path_articles(related(spark, d, part_texts(spark, d)), contents))
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +313,42 @@ def crimes_sql(k: int = 10) -> str:
   WHERE CASE WHEN case_count <= 3 THEN true WHEN case_count <= 10 THEN raw >= 0.01 ELSE raw >= 0.025 END)"""
 
 
-ENTITIES = "ent AS (SELECT DISTINCT conv_id AS qid, 'Brand#' || (conv_id % 25 + 1) AS crime, conv_id % 10 AS article FROM conversations)"
+PARTS = "parts AS (SELECT p_partkey AS qid, concat_ws(' ', p_name, p_brand, p_type, p_size) AS text FROM part)"
+ENTITIES = f"""{PARTS}, ent AS (SELECT qid, crime, NULL::BIGINT AS article FROM parts JOIN (SELECT DISTINCT crime FROM edges) ON contains(text, crime)
+  UNION ALL SELECT qid, NULL, n::BIGINT FROM (SELECT qid, unnest(list_distinct(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[0-9]{{1,9}}$')))) AS n FROM parts) WHERE n::BIGINT IN (SELECT article FROM edges))"""
+
+
+def related_sql(k: int = 3) -> str:
+    """(qid, kind, word, confidence) of what the entities of texts lead to."""
+    return f"""{EDGES}, {articles_sql(k)}, {crimes_sql(k)}, {ENTITIES}, rel AS (SELECT qid, kind, word, max(confidence) AS confidence FROM (
+  SELECT qid, 'article' AS kind, ra.article::VARCHAR AS word, confidence FROM ent JOIN ra USING (crime) UNION ALL SELECT qid, 'crime', rc.crime, confidence FROM ent JOIN rc USING (article)) GROUP BY ALL)"""
+
+
+def shelf_sql(parts: str, k: int, sub: int) -> str:
+    """The k best of weighted sub-queries `sq` (qid, source, weight, text), as the table `best`."""
+    tokens = TOKENS
+    return f"""{parts}, shelf AS (SELECT -1 - s_suppkey AS doc_id, s_name || ' nation ' || s_nationkey AS text FROM supplier UNION ALL SELECT qid, text FROM parts),
+dl AS (SELECT doc_id, len({tokens}) AS dl FROM shelf), st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens}) AS term FROM shelf) GROUP BY ALL),
+raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM raw) * 0.25 ELSE raw END AS idf FROM raw),
+qt AS (SELECT text AS asked, unnest({tokens}) AS term FROM (SELECT DISTINCT text FROM sq)),
+hit AS (SELECT asked, tf.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY ALL),
+run AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hit WHERE score > 0),
+merged AS (SELECT qid, doc_id, sum(score / (1 + score) * weight) AS total, max(score / (1 + score)) AS best, count(*) AS appearances, list_sort(list(DISTINCT source)) AS sources, bool_or(source = 'original') AS original
+  FROM sq JOIN run ON asked = text WHERE rank <= CASE WHEN source = 'original' THEN {k} ELSE {sub} END GROUP BY ALL),
+counted AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, max(total) OVER (PARTITION BY qid) AS top FROM merged),
+factors AS (SELECT *, CASE WHEN n <= 3 THEN 2.5 WHEN n <= 10 THEN 1.8 WHEN n <= 50 THEN 1.3 ELSE 1.1 END AS f, CASE WHEN n <= 3 THEN 0.01 WHEN n <= 10 THEN 0.05 WHEN n <= 50 THEN 0.1 ELSE 0.2 END AS t FROM counted),
+boosted AS (SELECT *, CASE WHEN n <= 10 OR (total >= t AND n <= 50) OR original THEN least(total * CASE WHEN total < 0.1 THEN f * 1.5 WHEN total < 0.3 THEN f ELSE least(f, 1.2) END, top * 1.5) ELSE total END AS boosted FROM factors),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(boosted, 9) DESC, appearances DESC, round(best, 9) DESC, doc_id) AS rank FROM boosted QUALIFY rank <= 10)
+SELECT qid, doc_id, round(boosted, 6) AS boosted, appearances, sources, rank FROM best"""
+
+
+SUB_QUERIES = f"""{related_sql()}, sq AS (SELECT qid, 'original' AS source, 0.5::DOUBLE AS weight, text FROM parts WHERE qid % 100 = 0
+  UNION ALL SELECT qid, kind || ':' || word, 0.3 * confidence, s_name FROM rel JOIN supplier ON kind = 'article' AND word = s_suppkey::VARCHAR WHERE qid % 100 = 0
+  UNION ALL SELECT qid, kind || ':' || word, 0.2 * confidence, word FROM rel WHERE kind = 'crime' AND qid % 100 = 0)"""
+ENTITY_QUERIES = f"""{EDGES}, {articles_sql(5)}, {PARTS}, sq AS (SELECT DISTINCT crime AS qid, 'original' AS source, 1.0::DOUBLE AS weight, crime AS text FROM edges
+  UNION ALL SELECT crime, 'article:' || article, 0.5, s_name FROM ra JOIN supplier ON article = s_suppkey)"""
 TURNS = "turns AS (SELECT conv_id * 100 + turn AS qid, lower(coalesce(text, '')) AS text FROM conversations WHERE role = 'user')"
 STOPPED = ", ".join(f"'{w}'" for w in STOP)
 
@@ -277,8 +373,13 @@ SELECT crime, article, case_count, round(confidence, 6) AS confidence, {LEVEL} A
     "article_summary": f"""WITH {CASES}, e AS (SELECT case_id, months, unnest(articles) AS article FROM cases) SELECT article, count(*) AS cases, min(months) AS min_months, max(months) AS max_months, round(avg(months), 6) AS avg_months, list_sort(list(case_id))[1:3] AS typical FROM e GROUP BY article""",
     "crime_summary": f"""WITH {CASES}, e AS (SELECT case_id, months, articles AS a, unnest(crimes) AS crime FROM cases), c AS (SELECT crime, count(DISTINCT x) AS articles FROM (SELECT crime, unnest(a) AS x FROM e) GROUP BY crime)
 SELECT crime, count(*) AS cases, round(avg(months), 6) AS avg_months, count(*) FILTER (months <= 12) AS to_1y, count(*) FILTER (months > 12 AND months <= 36) AS to_3y, count(*) FILTER (months > 36 AND months <= 120) AS to_10y, count(*) FILTER (months > 120) AS over_10y, any_value(c.articles) AS articles FROM e JOIN c USING (crime) GROUP BY crime""",
-    "query_expand": f"""{EDGES}, {articles_sql(3)}, {crimes_sql(3)}, {ENTITIES}, w AS (SELECT qid, ra.article::VARCHAR AS word, confidence FROM ent JOIN ra USING (crime) WHERE place <= 2 UNION ALL SELECT qid, rc.crime, confidence FROM ent JOIN rc USING (article) WHERE place <= 2)
-SELECT qid, list_sort(list(DISTINCT word)) AS keywords, count(*) AS relations, round(avg(confidence), 6) AS mean_confidence, round(least(0.3 * 2 + 0.2 * count(*) + 0.5 * avg(confidence), 1), 6)::DOUBLE AS quality FROM w GROUP BY qid""",
+    "query_expand": f"""{EDGES}, {articles_sql(3)}, {crimes_sql(3)}, {ENTITIES}, n AS (SELECT qid, count(*) AS entities FROM ent GROUP BY qid),
+w AS (SELECT qid, ra.article::VARCHAR AS word, confidence FROM ent JOIN ra USING (crime) WHERE place <= 2 UNION ALL SELECT qid, rc.crime, confidence FROM ent JOIN rc USING (article) WHERE place <= 2)
+SELECT qid, list_sort(list(DISTINCT word)) AS keywords, count(*) AS relations, round(avg(confidence), 6) AS mean_confidence, entities, round(least(0.3 * entities + 0.2 * count(*) + 0.5 * avg(confidence), 1), 6)::DOUBLE AS quality FROM w JOIN n USING (qid) GROUP BY qid, entities""",
+    "graph_enhanced_search": shelf_sql(SUB_QUERIES, 10, 5),
+    "entity_search": shelf_sql(ENTITY_QUERIES, 5, 5),
+    "graph_path": f"""{related_sql()}, p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(confidence, 9) DESC, word) AS place FROM rel WHERE kind = 'article' QUALIFY place <= 5)
+SELECT qid, 'article_' || word AS id, word AS article, coalesce(s_name || ' nation ' || s_nationkey, '') AS content, round(confidence, 6) AS score, place FROM p LEFT JOIN supplier ON word = s_suppkey::VARCHAR""",
     "explain_search": f"{EDGES}, {articles_sql(3)}, {ENTITIES} SELECT qid, list(crime || ' -> ' || ra.article || ' (' || {LEVEL} || ')' ORDER BY -confidence, crime || ' -> ' || ra.article || ' (' || {LEVEL} || ')') AS steps FROM ent JOIN ra USING (crime) GROUP BY qid",
     "detect_entities": f"WITH {TURNS}, words AS (SELECT DISTINCT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)[1] AS word FROM benchmark) SELECT qid, word FROM turns JOIN words ON contains(text, word)",
     "keyword_extract": f"""WITH {TURNS}, l AS (SELECT qid, list_filter(string_split_regex(text, '[^a-z]+'), lambda w: length(w) >= 2) AS l FROM turns), w AS (SELECT qid, unnest(l) AS keyword, generate_subscripts(l, 1) AS ord FROM l),
@@ -323,7 +424,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_edges, graph_stats, graph_quality, graph_top_nodes, related_articles, related_crimes, relation_details, star_edges, star_nodes, crimes_list,
-        articles_list, relation_cases, graph_export, article_summary, crime_summary, query_expand, explain_search, detect_entities, keyword_extract,
+        articles_list, relation_cases, graph_export, article_summary, crime_summary, query_expand, explain_search, graph_enhanced_search, entity_search, graph_path, detect_entities, keyword_extract,
         routing_plan, normalise_names, severe_flag, corpus_lexicon, content_join, length_filter, preview, title_normalise, searchable_text, result_format,
         batch_by_ids, distinct_in_order, dq_counts, dq_id_reconcile, dq_missing_examples, dq_vector_validity, dq_empty_content, dq_status, dq_preload,
     )

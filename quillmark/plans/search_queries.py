@@ -54,8 +54,7 @@ def vector_allpairs_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
-    return final(keyword.term_weights(keyword.postings(docs), keyword.corpus_stats(docs)), "term", "df", "idf")
+    return final(keyword.term_weights(keyword.index(documents(spark, d))), "term", "df", "idf")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +128,12 @@ def diversity_rank(spark: SparkSession, d: str) -> DataFrame:
     return final(fusion.diversity_rank(fusion.adaptive_boost(fusion.accumulate(sourced_runs(spark, d))), K), "qid", "doc_id", "boosted", "rank")
 
 
+def consistency_search(spark: SparkSession, d: str) -> DataFrame:
+    """Three of one type and ten of the other for each query, each type with ranks of its own."""
+    run = searched(spark, d, 10, by_type=True)
+    return final(run.where((F.col("doc_type") == "B") | (F.col("rank") <= 3)), "qid", "doc_type", "doc_id", "score", "rank")
+
+
 def both_types(spark: SparkSession, d: str) -> DataFrame:
     return searched(spark, d, K, by_type=True).drop("rank")
 
@@ -205,6 +210,7 @@ boosted AS (SELECT *, CASE WHEN n <= 10 OR (total >= t AND n <= 50) OR original
 SQL = {
     "vector_topk": f"{TOP} SELECT qid, doc_id, doc_type, round(score, 6) AS score, rank FROM t",
     "vector_topk_by_type": f"{BOTH} SELECT qid, doc_type, doc_id, round(score, 6) AS score, own AS rank FROM b WHERE own <= 5",
+    "consistency_search": f"{BOTH} SELECT qid, doc_type, doc_id, round(score, 6) AS score, own AS rank FROM b WHERE doc_type = 'B' OR own <= 3",
     "vector_threshold": f"WITH {SIMS_SQL} SELECT qid, doc_id, round(score, 6) AS score, {rank_sql()} AS rank FROM sims WHERE score >= 0.3 QUALIFY rank <= 50",
     "vector_paged": f"WITH {SIMS_SQL}, t AS (SELECT *, {rank_sql()} AS rank FROM sims QUALIFY rank <= 25) SELECT qid, doc_id, round(score, 6) AS score, rank, count(*) OVER (PARTITION BY qid) > 20 AS has_more FROM t QUALIFY rank BETWEEN 11 AND 20",
     "vector_by_id": "SELECT CASE WHEN label < 5 THEN 'article_' ELSE 'case_' END || vec_id AS id, vec_id AS doc_id, label::BIGINT AS label FROM embeddings WHERE (vec_id = 42 AND label < 5) OR (vec_id = 7 AND label >= 5)",
@@ -250,6 +256,6 @@ QUERIES = {
         vector_topk, vector_topk_by_type, vector_threshold, vector_paged, vector_by_id, vector_align_norm, vector_calibrate, vector_allpairs_stats,
         bm25_index_stats, bm25_topk, bm25_query_boosted, rrf_fusion, hybrid_search, weighted_fusion, fusion_final, enhanced_rrf, path_confidence,
         final_confidence, adaptive_boost, diversity_rank, merge_simple, merge_interleaved, merge_balanced, type_then_similarity, position_decay,
-        ranking_stats, result_metadata, type_counts, dq_vector_norms, kmeans_clusters,
+        ranking_stats, result_metadata, type_counts, dq_vector_norms, kmeans_clusters, consistency_search,
     )
 }

@@ -2,6 +2,9 @@
 
 Rows are (event_id, ts, user_id, event_type, value); an event's type is the module, a positive value is a success, and the
 value is its time in milliseconds.
+
+Windows of a stream take a lateness: in complete mode no row is lost; in the other modes a window that the watermark has
+passed is closed, rows for it are dropped, and `late_rows` counts them.
 """
 
 from __future__ import annotations
@@ -44,13 +47,22 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
     return own.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n", "total")
 
 
-def without_repeats(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each event once; a stream remembers ids as long as its watermark asks for."""
-    if events.isStreaming:
+def without_repeats(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Each event once, by event_id.
+
+    A stream without `late` remembers all ids: no row is lost in whatever order files come.  With it, ids are remembered
+    until the watermark passes; rows that come later than that are dropped, and `late_rows` counts them.
+    """
+    if events.isStreaming and late is not None:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's watermark has dropped, over the progress reports that the session keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for report in query.recentProgress for op in report["stateOperators"])
+
+
 def search_stats(events: DataFrame, *group: str) -> DataFrame:
     """Total, successes, failures, success rate, and sum and mean of times."""
     ok = F.col("value") > 50
@@ -63,8 +75,10 @@ def weight_bands(rows: DataFrame, weight: str, *group: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count_if(w >= 0.8).alias("strong"), F.count_if((w >= 0.6) & (w < 0.8)).alias("middle"), F.avg(w).alias("mean_weight"))
 
 
-def to_memory(stream: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
-    return stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def to_table(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """The whole result of a roll-up as a table, written anew with each batch."""
+    write = lambda df, _: df.write.mode("overwrite").parquet(folder)
+    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def to_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -376,9 +376,48 @@ def test_streams_equal_batches(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = trace.read_stream(spark, str(tmp_path / "in"), events)
-    trace.to_memory(trace.tumbling(stream), "tumbled").awaitTermination()
+    trace.to_table(trace.tumbling(stream), str(tmp_path / "tumbled"), str(tmp_path / "c0")).awaitTermination()
     own = lambda df: sorted(tuple(map(str, r)) for r in df.withColumn("avg_value", F.round("avg_value", 6)).collect())
-    assert own(spark.table("tumbled")) == own(trace.tumbling(events))
+    assert own(spark.read.parquet(str(tmp_path / "tumbled"))) == own(trace.tumbling(events))
     seen = []
-    trace.to_batches(trace.without_repeats(trace.read_stream(spark, str(tmp_path / "in"), events)), lambda df, n: seen.append(df.count()), str(tmp_path / "ck")).awaitTermination()
+    trace.to_batches(trace.without_repeats(stream), lambda df, n: seen.append(df.count()), str(tmp_path / "c1")).awaitTermination()
     assert sum(seen) == events.count() and len(seen) == 3
+
+
+def test_repeats_go_and_late_rows_are_counted(spark, tmp_path):
+    rows = [[(k, f"2024-01-01 {k:02d}:00:00") for k in range(20)] + [(3, "2024-01-01 03:00:00")], [(40, "2024-01-02 00:00:00")], [*((k, "2024-01-01 01:30:00") for k in (1, 30, 31)), (40, "2024-01-02 00:00:00")]]
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    like = spark.read.parquet(str(tmp_path / "in"))
+    stream = trace.read_stream(spark, str(tmp_path / "in"), like)
+
+    def run(late, checkpoint):
+        out = []
+        query = trace.to_batches(trace.without_repeats(stream, late), lambda df, n: out.extend(r.event_id for r in df.collect()), str(tmp_path / checkpoint))
+        query.awaitTermination()
+        return sorted(out), trace.late_rows(query)
+
+    every = sorted({k for part in rows for k, _ in part})
+    assert run(None, "c0") == (every, 0)
+    got, late = run("2 hours", "c1")
+    assert got == sorted(set(every) - {30, 31}) and late == 3  # ids 1, 30 and 31 come too late
+
+
+def test_saved_index_gives_the_same_search(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "a " * 500 + "c"), (5, "d")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c c d"), (3, "zz"), (4, None)], "qid long, text string")
+    keyword.save_index(docs, str(tmp_path / "index"))
+    own, weights = keyword.load_index(spark, str(tmp_path / "index"))
+    assert {r.doc_id: (r.dl, sorted(map(tuple, r.terms))) for r in own.collect()} == {1: (3, [("a", 1), ("b", 2)]), 2: (0, []), 3: (0, []), 4: (501, [("a", 500), ("c", 1)]), 5: (1, [("d", 1)])}
+    assert sorted(map(tuple, keyword.search_index(own, weights, asked, 3).collect())) == sorted(map(tuple, keyword.search(docs, asked, 3).collect()))
+    plan = keyword.search_index(own, weights, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 0
+
+
+def test_contained_equals_plain_search(spark):
+    texts = ["", None, "abcabd", "xabc", "ab", "äbcd abc", "b" * 5_000 + "abc"]
+    words = ["abc", "abd", "b", "bb", "cd a", "zzz", "äbcd"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
+    for some in (words, ["abc", "abcab"], []):
+        got = sorted((r.qid, r.word) for r in entity.contained(queries, spark.createDataFrame([(w,) for w in some], "word string")).collect())
+        assert got == sorted((q, w) for q, t in enumerate(texts) for w in some if t and w in t)
