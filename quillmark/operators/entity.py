@@ -60,7 +60,9 @@ def contained(queries: DataFrame, words: DataFrame, text: str = "text", word: st
     shortest = words.where(F.length(word) > 0).agg(F.min(F.length(word))).first()[0]
     width = min(4, shortest or 1)
     letters = queries.withColumn("_letters", F.split(F.col(text), ""))
-    runs = F.transform(F.sequence(F.lit(0), F.size("_letters") - width), lambda i: F.concat(*[F.get("_letters", i + k) for k in range(width)]))
+    runs = F.col("_letters")
+    for k in range(1, width):  # elements meet their followers, so that no row is split anew for each of them
+        runs = F.zip_with(runs, F.slice("_letters", k + 1, F.size("_letters")), lambda x, y: F.concat(x, y))
     looked = letters.where(F.length(text) >= width).withColumn("_run", F.explode(F.array_distinct(runs))).drop("_letters")
     return looked.join(words.where(F.length(word) > 0).withColumn("_run", F.substring(word, 1, width)), "_run").where(F.col(text).contains(F.col(word))).drop("_run")
 

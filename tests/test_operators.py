@@ -2,6 +2,8 @@
 
 import math
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -414,6 +416,14 @@ def test_saved_index_gives_the_same_search(spark, tmp_path):
     assert plan.count("hashpartitioning(term") == 0
 
 
+def test_long_texts_are_indexed_in_near_linear_time(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k % 9000}" for k in range(60_000)))], "doc_id long, text string")
+    began = time.monotonic()
+    assert keyword.term_weights(keyword.index(docs)).count() == 9000
+    assert entity.contained(docs, spark.createDataFrame([("w8999 w0",)], "word string")).count() == 1
+    assert time.monotonic() - began < 30
+
+
 def test_contained_equals_plain_search(spark):
     texts = ["", None, "abcabd", "xabc", "ab", "äbcd abc", "b" * 5_000 + "abc"]
     words = ["abc", "abd", "b", "bb", "cd a", "zzz", "äbcd"]
