@@ -1,7 +1,6 @@
 """Operators on small literal inputs: known values, brute force and properties."""
 
 import math
-
 import time
 
 import pytest
