@@ -41,7 +41,8 @@ def article_title(raw: Column) -> Column:
 def join_content(results: DataFrame, docs: DataFrame, result_id: str = "doc_id", doc_id: str = "doc_id", content: list[str] = ("text",)) -> DataFrame:
     """Results with the trimmed first non-null content of their document, matched by canonical id."""
     key = lambda c: canonical_id(F.col(c).cast("string"))
-    own = docs.select(key(doc_id).alias("_key"), F.trim(F.coalesce(*content)).alias("content")).dropDuplicates(["_key"])
+    own = docs.select(key(doc_id).alias("_key"), F.col(doc_id).alias("_raw"), F.trim(F.coalesce(*content)).alias("content"))
+    own = own.groupBy("_key").agg(F.min_by("content", "_raw").alias("content"))  # of several spellings of an id the first
     return results.withColumn("_key", key(result_id)).join(own, "_key", "left").drop("_key")
 
 
@@ -57,6 +58,24 @@ def by_id(articles: DataFrame, cases: DataFrame, wanted: str) -> DataFrame:
     return both.where(canonical_id(F.col("id")) == key).orderBy("priority", "id").limit(1)
 
 
+def by_number(articles: DataFrame, number: int, content: list[str] = ("content", "full_text", "text")) -> DataFrame:
+    """The article of a number with its first content that is there."""
+    there = [F.nullif(F.col(c), F.lit("")) for c in content if c in articles.columns]
+    return articles.where(F.col("article_number") == number).withColumn("content", F.coalesce(*there, F.lit("")))
+
+
+def by_chapter(articles: DataFrame, chapter: str) -> DataFrame:
+    return articles.where(F.col("chapter").contains(chapter))
+
+
+def by_accusation(cases: DataFrame, crime: str, column: str = "accusations") -> DataFrame:
+    return cases.where(F.array_contains(column, crime))
+
+
+def by_cited_article(cases: DataFrame, article: int, column: str = "relevant_articles") -> DataFrame:
+    return cases.where(F.array_contains(F.col(column), F.lit(article)))
+
+
 def content_preview(content: Column, size: int = 300) -> Column:
     """The content, or its beginning up to the last full stop beyond seven tenths of the size, else with dots."""
     head = F.substring(content, 1, size)
@@ -79,9 +98,12 @@ def long_or_unknown(results: DataFrame, least: int, size: str = "content_length"
 def adaptive_length_filter(results: DataFrame, least: int, target: int) -> DataFrame:
     """Per query the rows that are long enough; twice the target at most if there are one and a half times as many."""
     own = long_enough(results, least)
-    n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
+    sizes = own.groupBy(F.col("qid").alias("_q")).agg(F.count("*").alias("_n"))
+    sized = own.join(sizes, F.col("qid").eqNullSafe(F.col("_q"))).drop("_q")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(compared().desc(), "doc_id"))
-    return own.withColumn("_n", n).withColumn("_place", place).where((F.col("_n") < 1.5 * target) | (F.col("_place") <= 2 * target)).drop("_n", "_place")
+    few = sized.where(F.col("_n") < 1.5 * target).drop("_n")
+    many = sized.where(F.col("_n") >= 1.5 * target).withColumn("_place", place).where(F.col("_place") <= 2 * target)  # cut below the exchange
+    return few.unionByName(many.drop("_n", "_place"))
 
 
 def article_preview(number: Column, chapter: Column, length: Column) -> Column:
@@ -160,3 +182,25 @@ def client_filter(names: DataFrame, name: str, others: str, term: str) -> DataFr
     """Rows whose name, or one of whose related names, holds the term in any case."""
     low = term.lower()
     return names.where(F.lower(name).contains(low) | F.exists(others, lambda x: F.lower(x.cast("string")).contains(low)))
+
+
+def percent(value: Column) -> Column:
+    """A share as a percentage of one decimal, halves rounded up; six places count, so that noise of doubles decides no half."""
+    return F.concat(F.round((value * 100).cast("decimal(20,6)"), 1).cast("string"), F.lit("%"))
+
+
+def milliseconds(seconds: Column) -> Column:
+    return F.concat(F.round(seconds * 1000).cast("long").cast("string"), F.lit("ms"))
+
+
+def iso_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def confidence_band(value: Column) -> Column:
+    return F.when(value >= 0.9, "very_high").when(value >= 0.8, "high").when(value >= 0.7, "medium").otherwise("low")
+
+
+def ordered_suggestions(rows: DataFrame) -> DataFrame:
+    """Suggestions (type, priority, text): those of crimes first, then by priority, the smallest number first."""
+    return rows.orderBy(F.when(F.col("type") == "crime", 0).otherwise(1), "priority", "text")

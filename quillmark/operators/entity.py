@@ -26,7 +26,11 @@ LEXICON = [
     ("毒品", "非法持有毒品罪", 0.8, 348),
     ("贩毒", "贩卖毒品罪", 0.95, 347),
 ]
-COMMON = "刑事 犯罪 受害者 被告人 法律 处罚 责任 行为 构成 依据 规定 条文 案件 事实 情节 社会 危害 后果 怎么 如何 什么 哪个 判刑 定罪".split()
+COMMON = [
+    "刑事", "犯罪", "受害者", "被告人", "法律", "处罚", "责任", "行为",
+    "构成", "依据", "规定", "条文", "案件", "事实", "情节", "社会",
+    "危害", "后果", "怎么", "如何", "什么", "哪个", "判刑", "定罪",
+]
 TERMS = {
     "轻伤": 0.75, "重伤": 0.8, "死亡": 0.85,
     "数额较大": 0.7, "数额巨大": 0.75, "数额特别巨大": 0.8,
@@ -40,6 +44,17 @@ TERMS = {
     "绑架": 0.8, "强奸": 0.8, "抢夺": 0.7,
 }
 NONE_KNOWN = "暂无"
+ANSWER_STARTS = ["专业回答：", "回答：", "答：", "法律回答：", "根据相关法律规定：", "依据法律规定："]
+ANSWER_ENDS = ["具体情况请咨询专业律师。", "建议咨询专业律师。", "请咨询专业法律人士。", "以上仅供参考。", "详情请咨询法律专家。"]
+SMALL_TALK = ["你好", "您好", "请问", "谢谢", "不客气", "希望对您有帮助"]
+LEGAL_WORDS = ["法", "罪", "条", "律", "刑", "判", "责任", "处罚", "违法", "犯罪"]
+COLLOQUIAL = ["怎么办", "咋办", "啥", "咋", "嘛", "呢", "吧"]
+FALLBACK = (
+    "针对您咨询的问题'%s'，基于检索到的法律资源，现提供以下分析：\n\n",
+    "【相关法条】\n根据检索结果，找到%d条相关法条：\n",
+    "【相关案例】\n系统检索到%d个相关案例可供参考。\n\n",
+    "【建议】\n建议您：\n1. 详细了解上述法条的具体内容\n2. 参考相关案例的处理方式\n3. 如需具体法律意见，请咨询专业律师\n\n*本回答基于AI检索系统生成，仅供参考，不构成正式法律意见。",
+)
 NAME_BEFORE = "被告人|犯罪嫌疑人|上诉人|原审被告人|当事人"
 NAME_END = r"[^、，。\s至]+"
 NAME_LETTERS = "^[一-龯某甲乙丙丁]{2,4}$"
@@ -193,6 +208,43 @@ def clean_generated(text: Column, least: int = 10, most: int = 200) -> Column:
     return F.when(F.length(bare) < least, "").when(F.length(bare) > most, F.concat(F.substring(bare, 1, most), F.lit("..."))).otherwise(F.coalesce(bare, F.lit("")))
 
 
+def clean_answer(text: Column, least: int = 15, most: int = 300) -> Column:
+    """A generated answer without opening and closing phrases, quotes and small talk; empty if too short, cut after its
+    last sentence that fits if too long."""
+    strip = lambda c: F.regexp_replace(c, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    bare = strip(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), f"^({'|'.join(ANSWER_STARTS)})", ""))
+    for end in ANSWER_ENDS:
+        bare = F.regexp_replace(bare, f"[ \\t\\r\\n]*{end}$", "")
+    for left, right in (('"', '"'), ("「", "」")):
+        bare = strip(F.regexp_replace(bare, f"(?s)^{left}(.*){right}$", "$1"))
+    head = F.substring(bare, 1, most)
+    whole = F.nullif(F.regexp_extract(head, "(?s)^(.*。)", 1), F.lit(""))
+    cut = F.when(F.length(bare) > most, F.coalesce(whole, F.concat(head, F.lit("...")))).otherwise(bare)
+    return F.when(F.length(bare) < least, "").otherwise(strip(F.regexp_replace(cut, "|".join(SMALL_TALK), "")))
+
+
+def good_answer(text: Column) -> Column:
+    """Whether an answer is long enough, speaks of law, and is not colloquial."""
+    spoken = sum((text.contains(m).cast("int") for m in COLLOQUIAL), F.lit(0))
+    return F.coalesce((F.length(text) >= 15) & text.rlike("|".join(LEGAL_WORDS)) & (spoken <= 2), F.lit(False))
+
+
+def enhanced_query(text: Column, generated: Column, between: str = " ") -> Column:
+    """The query followed by what was generated for it, if anything was."""
+    return F.concat_ws(between, text, F.nullif(generated, F.lit("")))
+
+
+def fallback_answer(queries: DataFrame, articles: DataFrame, cases: DataFrame, most: int = 3) -> DataFrame:
+    """(qid, answer): the template of an answer without a generator, with the first titles of articles (qid, rank, title)
+    and the number of cases (qid, rank)."""
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("title", F.format_string("第%d条", F.col("rank"))))
+    law = articles.groupBy("qid").agg(F.count("*").alias("n_law"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", line.alias("line"))))).alias("lines"))
+    own = queries.select("qid", "text").join(law, "qid", "left").join(cases.groupBy("qid").agg(F.count("*").alias("n_cases")), "qid", "left")
+    first, found, listed, closing = FALLBACK
+    laws = F.when(F.col("n_law") > 0, F.concat(F.format_string(found, F.col("n_law")), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n\n")))
+    return own.select("qid", F.concat(F.format_string(first, F.coalesce("text", F.lit(""))), F.coalesce(laws, F.lit("")), F.coalesce(F.when(F.col("n_cases") > 0, F.format_string(listed, F.col("n_cases"))), F.lit("")), F.lit(closing)).alias("answer"))
+
+
 def parse_classification(payload: Column) -> Column:
     """The classifier's JSON as a struct with defaults; null where it is not JSON."""
     schema = "is_criminal_law boolean, confidence double, identified_crimes array<struct<crime_name string, relevance double>>, query2doc_enhanced string, hyde_hypothetical string, bm25_keywords array<struct<keyword string, weight double>>"

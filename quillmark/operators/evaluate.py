@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +148,31 @@ def sampled_queries(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFr
 
 def query_text(text: Column, size: int = 200) -> Column:
     return F.substring(F.coalesce(text, F.lit("")), 1, size)
+
+
+def query_set(rows: DataFrame, kind: str, key: str, text: Column, n: int, seed: int = 42) -> DataFrame:
+    """(query_type, query_id, query_text): a seeded sample of rows as queries of a type."""
+    return sampled_queries(rows, key, n, seed).select(F.lit(kind).alias("query_type"), F.col(key).cast("string").alias("query_id"), text.alias("query_text"))
+
+
+def dispatched(queries: DataFrame, searches: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Runs of all query types, each from the search of its type; a type without a search is an error of the caller."""
+    runs = [search(queries.where(F.col("query_type") == kind)).withColumn("query_type", F.lit(kind)) for kind, search in searches.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
+
+
+def run_report(queries: DataFrame, run: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Per type: queries, those with results, results, mean precision over all queries, mean average precision."""
+    found = judged(run, qrels).groupBy("qid").agg(F.count("*").alias("n"), F.avg("rel").alias("p"))
+    per = queries.select("qid", "query_type").join(found, "qid", "left").join(average_precision(run, qrels).select("qid", "ap"), "qid", "left").fillna(0, ["n", "p", "ap"])
+    return per.groupBy("query_type").agg(F.count("*").alias("queries"), F.count_if(F.col("n") > 0).alias("answered"), F.sum("n").alias("results"), F.avg("p").alias("mean_precision"), F.avg("ap").alias("map"))
+
+
+def verdict(metrics: DataFrame, keys: list[str], precision: str = "precision@5", jaccard: str = "jaccard") -> DataFrame:
+    """One row: mean of the key metrics, its rating, whether it passes (0.6), and what to improve."""
+    own = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
+    score = F.avg(F.when(F.col("metric").isin(keys), F.round("value", 4)))
+    out = metrics.agg(F.coalesce(score, F.lit(0.0)).alias("overall_score"), own(precision).alias("_p"), own(jaccard).alias("_j"))
+    s = F.col("overall_score")
+    advice = F.concat_ws("; ", F.when(s < 0.6, "improve the whole"), F.when(F.coalesce("_p", F.lit(0.0)) < 0.5, "raise precision"), F.when(F.coalesce("_j", F.lit(0.0)) < 0.3, "raise consistency"))
+    return out.select("overall_score", band(s).alias("rating"), (s >= 0.6).alias("passed"), advice.alias("advice"))

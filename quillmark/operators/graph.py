@@ -25,7 +25,7 @@ ALLOWED = {
     "非法经营": [225],
     "合同诈骗": [224],
 }
-ABSENT = [410, 425, 485, 499, 500]
+ABSENT = [500, 485, 499, 425, 410]
 LAST_ARTICLE, GENERAL, AROUND = 451, 20, 5
 
 
@@ -241,3 +241,9 @@ def crime_summary(cases: DataFrame) -> DataFrame:
     m = F.col("months")
     per = each.groupBy("crime").agg(F.count("*").alias("cases"), F.avg(m).alias("avg_months"), F.count_if(m <= 12).alias("to_1y"), F.count_if((m > 12) & (m <= 36)).alias("to_3y"), F.count_if((m > 36) & (m <= 120)).alias("to_10y"), F.count_if(m > 120).alias("over_10y"))
     return per.join(cited, "crime", "left")
+
+
+def typical_cases(cases: DataFrame, most: int = 3) -> DataFrame:
+    """(crime, typical): the first cases of each crime."""
+    each = cases.select("case_id", F.explode("crimes").alias("crime")).withColumn("n", F.row_number().over(Window.partitionBy("crime").orderBy("case_id")))
+    return each.where(F.col("n") <= most).groupBy("crime").agg(F.array_sort(F.collect_list("case_id")).alias("typical"))

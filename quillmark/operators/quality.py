@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import norm
@@ -79,3 +79,20 @@ def preload_stats(ids: DataFrame, docs: DataFrame, key: str = "doc_id", kind: st
     """Per type how many ids have a content to load."""
     own = docs.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(key).distinct().withColumn("there", F.lit(1))
     return ids.join(own, key, "left").groupBy(kind).agg(F.count("there").alias("hits"), F.count_if(F.col("there").isNull()).alias("misses"))
+
+
+def structure(spark: SparkSession, tables: dict[str, DataFrame], expected: dict[str, list[str]]) -> DataFrame:
+    """(source, column, present): every expected column of every table, from the schemas alone."""
+    rows = [(name, c, c in tables[name].columns) for name, columns in expected.items() for c in columns]
+    return spark.createDataFrame(rows, "source string, column string, present boolean")
+
+
+def advice(checks: DataFrame) -> DataFrame:
+    """`status` with what to do about it."""
+    what = F.concat_ws("; ", F.when(F.col("count_mismatch") > 0, "rebuild the vectors"), F.when(F.col("id_mismatch") > 0, "match the ids"), F.when(F.col("empty") > 0, "fill empty contents"), F.when(F.col("zero") > 0, "encode zero vectors again"))
+    return status(checks).withColumn("advice", F.when(what == "", "none").otherwise(what))
+
+
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """(source, n, state): row counts, and whether a table is ready or empty."""
+    return counts(tables).withColumn("state", F.when(F.col("n") > 0, "ready").otherwise("empty"))

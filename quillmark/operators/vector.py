@@ -152,6 +152,13 @@ def sample_similarities(df: DataFrame, order: Column, size: int) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.avg("s").alias("mean_similarity"), F.stddev_pop("s").alias("std_similarity"), F.min("s").alias("min_similarity"), F.max("s").alias("max_similarity"))
 
 
+def cross_similarities(left: DataFrame, right: DataFrame, size: int = 10) -> DataFrame:
+    """Statistics of the similarities between two small samples, the first ids of each side."""
+    few = lambda df, name: df.orderBy("doc_id").limit(size).select(F.lit(0).alias("at"), F.col("vector").alias(name))
+    pairs = few(left, "a").join(F.broadcast(few(right, "b")), "at").select(cosine(F.col("a"), F.col("b")).alias("s"))  # size x size rows
+    return pairs.agg(F.count("*").alias("pairs"), F.avg("s").alias("mean_similarity"), F.stddev_pop("s").alias("std_similarity"), F.min("s").alias("min_similarity"), F.max("s").alias("max_similarity"))
+
+
 def kmeans(df: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     """(doc_id, cluster) of k-means over the vectors."""
     from pyspark.ml.clustering import KMeans

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import eval_queries, graph_queries, search_queries
+from . import eval_queries, graph_queries, report_queries, search_queries
 
-MODULES = (search_queries, graph_queries, eval_queries)
+MODULES = (search_queries, graph_queries, eval_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

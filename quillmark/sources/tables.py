@@ -177,3 +177,16 @@ def text_report(rows: DataFrame, title: str, most: int = 1_000) -> str:
     for r in rows.orderBy(*rows.columns).limit(most).collect():
         out.append(" | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r))
     return "\n".join(out)
+
+
+def save_queries(rows: DataFrame, path: str) -> DataFrame:
+    """Generated queries (query_type, query_id, query_text) as Parquet, reread."""
+    rows.write.mode("overwrite").partitionBy("query_type").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def graph_report(edges: DataFrame) -> DataFrame:
+    """One row on a relation graph: whether its columns are there and it has edges, with its numbers."""
+    lacking = sorted({"crime", "article", "case_count"} - set(edges.columns))
+    own = edges.agg(F.count("*").alias("edges"))
+    return own.select("edges", F.lit(", ".join(lacking)).alias("lacking"), ((F.col("edges") > 0) & F.lit(not lacking)).alias("success"))

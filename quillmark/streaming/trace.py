@@ -84,3 +84,9 @@ def to_table(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 def to_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Every micro-batch to a function, exactly once per batch number."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def expansion_stats(searches: DataFrame, expanded: Column, duration: Column, *group: str) -> DataFrame:
+    """Searches, expanded ones, their share to three places and the mean duration in ms to two."""
+    n, e = F.count("*"), F.count_if(expanded)
+    return searches.groupBy(*group).agg(n.alias("searches"), e.alias("expanded"), F.round(e / n, 3).alias("expansion_rate"), F.round(F.avg(duration) * 1000, 2).alias("avg_ms"))

@@ -430,3 +430,49 @@ def test_contained_equals_plain_search(spark):
     for some in (words, ["abc", "abcab"], []):
         got = sorted((r.qid, r.word) for r in entity.contained(queries, spark.createDataFrame([(w,) for w in some], "word string")).collect())
         assert got == sorted((q, w) for q, t in enumerate(texts) for w in some if t and w in t)
+
+
+def test_content_predicates_and_order(spark):
+    articles = spark.createDataFrame([(7, "one", "", "full"), (8, "two", None, None)], "article_number int, chapter string, content string, full_text string")
+    assert [r.content for r in content.by_number(articles, 7).collect()] == ["full"]
+    assert [r.content for r in content.by_number(articles, 8).collect()] == [""] and content.by_number(articles, 9).count() == 0
+    assert [r.article_number for r in content.by_chapter(articles, "tw").collect()] == [8]
+    own = spark.createDataFrame([("c1", ["theft"], [264]), ("c2", None, None)], "case_id string, accusations array<string>, relevant_articles array<int>")
+    assert [r.case_id for r in content.by_accusation(own, "theft").collect()] == ["c1"] == [r.case_id for r in content.by_cited_article(own, 264).collect()]
+    said = spark.createDataFrame([("article", 1, "a"), ("crime", 2, "b"), ("crime", 1, "c")], "type string, priority int, text string")
+    assert [r.text for r in content.ordered_suggestions(said).collect()] == ["c", "b", "a"]
+
+
+def test_content_of_several_spellings_is_the_first(spark):
+    docs = spark.createDataFrame([("case_2", "later"), ("CASE_002", " first ")], "doc_id string, text string").repartition(2)
+    results = spark.createDataFrame([("case_case_2",), (None,)], "doc_id string")
+    assert sorted(str(r.content) for r in content.join_content(results, docs).collect()) == ["None", "first"]
+
+
+def test_adaptive_length_filter_keeps_queries_without_id(spark):
+    rows = [(q, i, 0.5, "x" * 30) for q, n in ((None, 2), (1, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "qid int, doc_id int, score double, content string")
+    kept = content.adaptive_length_filter(df, 20, 2).collect()
+    assert sorted((str(r.qid), r.doc_id) for r in kept) == [("1", 0), ("1", 1), ("1", 2), ("1", 3), ("None", 0), ("None", 1)]
+    assert content.adaptive_length_filter(df.where("1 = 0"), 20, 2).count() == 0
+
+
+def test_generated_answers(spark):
+    long = "根据刑法的规定处罚。" * 40
+    texts = [(0, "答： \"根据法律规定应当承担相应的刑事责任和处罚\" 以上仅供参考。"), (1, "短"), (2, None), (3, long), (4, "法" * 301), (5, "您好，根据法律规定应当承担相应的刑事责任。")]
+    got = {r.i: r.a for r in spark.createDataFrame(texts, "i int, t string").select("i", entity.clean_answer(F.col("t")).alias("a")).collect()}
+    assert got == {0: "根据法律规定应当承担相应的刑事责任和处罚", 1: "", 2: "", 3: long[:300], 4: "法" * 300 + "...", 5: "，根据法律规定应当承担相应的刑事责任。"}
+    judged = spark.createDataFrame([("根据法律规定应当承担相应的责任。",), ("根据法律规定怎么办呢，咋办吧，这是啥意思。",), ("x" * 20,), (None,)], "t string")
+    assert [r.g for r in judged.coalesce(1).select(entity.good_answer(F.col("t")).alias("g")).collect()] == [True, False, False, False]
+    asked = spark.createDataFrame([(1, "q"), (2, None)], "qid int, text string")
+    law = spark.createDataFrame([(1, i, f"t{i}" if i < 3 else None) for i in range(1, 6)], "qid int, rank int, title string")
+    found = {r.qid: r.answer for r in entity.fallback_answer(asked, law, law.select("qid", "rank").limit(0)).collect()}
+    assert "找到5条相关法条：\n1. t1\n2. t2\n3. 第3条\n\n【建议】" in found[1] and "相关法条】" not in found[2] and "''" in found[2]
+
+
+def test_query_sets_and_graph_report_are_stored(spark, tmp_path):
+    rows = spark.createDataFrame([("crime", "1", "theft"), ("mixed", "2", "text")], "query_type string, query_id string, query_text string")
+    assert sorted(map(tuple, tables.save_queries(rows, str(tmp_path / "q")).select(*rows.columns).collect())) == [("crime", "1", "theft"), ("mixed", "2", "text")]
+    edges = spark.createDataFrame([("theft", 264)], "crime string, article int")
+    assert tuple(tables.graph_report(edges).first()) == (1, "case_count", False)
+    assert tuple(tables.graph_report(edges.withColumn("case_count", F.lit(2)).limit(0)).first()) == (0, "", False)
