@@ -70,16 +70,18 @@ def contained(queries: DataFrame, words: DataFrame, text: str = "text", word: st
     """Queries joined to the words (not empty) of a vocabulary that they contain.
 
     The first characters of words (four, or as many as the shortest has) are looked up among the distinct runs of so many
-    characters of each text; what they lead to is then compared whole.  The join is one of equals at any size.
+    characters of each text; what they lead to is then compared whole.  The join is one of equals at any size.  Runs carry
+    a hash of their text instead of the text, which comes back for the comparison.
     """
     shortest = words.where(F.length(word) > 0).agg(F.min(F.length(word))).first()[0]
     width = min(4, shortest or 1)
-    letters = queries.withColumn("_letters", F.split(F.col(text), ""))
+    own, known = queries.withColumn("_key", F.xxhash64(text)), words.where(F.length(word) > 0).withColumn("_run", F.substring(word, 1, width))
+    letters = own.where(F.length(text) >= width).select("_key", F.split(F.col(text), "").alias("_letters"))
     runs = F.col("_letters")
     for k in range(1, width):  # elements meet their followers, so that no row is split anew for each of them
         runs = F.zip_with(runs, F.slice("_letters", k + 1, F.size("_letters")), lambda x, y: F.concat(x, y))
-    looked = letters.where(F.length(text) >= width).withColumn("_run", F.explode(F.array_distinct(runs))).drop("_letters")
-    return looked.join(words.where(F.length(word) > 0).withColumn("_run", F.substring(word, 1, width)), "_run").where(F.col(text).contains(F.col(word))).drop("_run")
+    looked = letters.select("_key", F.explode(F.array_distinct(runs)).alias("_run")).join(known.select("_run").distinct(), "_run", "left_semi").distinct()
+    return own.join(looked.join(known, "_run"), "_key").where(F.col(text).contains(F.col(word))).drop("_run", "_key")
 
 
 def lexicon_crimes(queries: DataFrame) -> DataFrame:
