@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, exact, langid, minhash, packing, pii, toxicity, warc
+from . import bpe, chat, embed, exact, infill, langid, minhash, packing, pii, toxicity, warc
 from .common import bounded_sample, held_out, materialize
 
 #: The tokenizer of the operators that count tokens.
@@ -73,12 +73,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return examples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL}
+    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL, "op12_fill_in_middle": INFILL_SQL}
 
 
 WARC_SQL = """
@@ -136,3 +141,25 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
   doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM t
 """
+
+INFILL_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('1:' || doc_id) AS h FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:x], '') AS prefix, array_to_string(units[x + 1:y], '') AS middle, array_to_string(units[y + 1:], '') AS suffix FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
