@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, exact, infill, langid, minhash, packing, pii, toxicity, warc
+from . import bpe, chat, embed, exact, infill, langid, lexical, minhash, packing, pii, toxicity, warc
 from .common import bounded_sample, held_out, materialize
 
 #: The tokenizer of the operators that count tokens.
@@ -73,6 +73,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 20)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return examples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -83,7 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL, "op12_fill_in_middle": INFILL_SQL}
+    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL, "op11_lexical_search": LEXICAL_SQL, "op12_fill_in_middle": INFILL_SQL}
 
 
 WARC_SQL = """
@@ -142,6 +146,27 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM t
 """
 
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), b AS (
+  SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), asked AS (SELECT q, item_id, term, count(*) AS times FROM b GROUP BY ALL
+), sizes AS (SELECT r, doc_id, count(*)::BIGINT AS n FROM d GROUP BY ALL
+), corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes
+), postings AS (SELECT r, term, count(*)::BIGINT AS tf FROM d GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term, docs
+), scored AS (
+  SELECT q, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (r), corpus GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 20
+"""
+
 INFILL_SQL = """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
