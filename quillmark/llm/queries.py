@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, exact, infill, langid, lexical, minhash, packing, pii, toxicity, warc
+from . import bpe, chat, embed, exact, infill, langid, lexical, minhash, packing, passages, pii, toxicity, warc
 from .common import bounded_sample, held_out, materialize
 
 #: The tokenizer of the operators that count tokens.
@@ -82,12 +82,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL, "op11_lexical_search": LEXICAL_SQL, "op12_fill_in_middle": INFILL_SQL}
+    return {"op1_warc": WARC_SQL, "op6_chat_format": CHAT_SQL, "op7_exact_dedup": EXACT_SQL, "op10_embedding_dedup": VECTOR_SQL, "op11_lexical_search": LEXICAL_SQL, "op12_fill_in_middle": INFILL_SQL, "op13_repeated_passages": PASSAGES_SQL}
 
 
 WARC_SQL = """
@@ -188,3 +193,20 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefi
   sha256(text) AS restored_sha256
 FROM parts
 """
+
+PASSAGES_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT r, doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS w FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM t)
+), first AS (
+  SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN first USING (w) WHERE first_id < doc_id
+), kept AS (
+  SELECT t.r, string_agg(word, ' ' ORDER BY p) AS kept_text, count(*) AS n FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM t) t
+  ANTI JOIN gone USING (r, p) GROUP BY t.r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+"""
