@@ -92,6 +92,19 @@ def put_shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return unique
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """`df` with its columns named by their places, and the new names of some: what operators add can't clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(c)}" for c in columns]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column bears it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Keep the Arrow batches of long texts small: sets the session's bounds on rows and bytes, where its own are larger.
 

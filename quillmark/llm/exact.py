@@ -13,8 +13,8 @@ full; a slot shared by chance only costs a hash.
 Of equal texts the row with the largest id stays.  In `exact_dedup` ids that repeat share their row's fate (all rows with
 the largest id stay), and a null id stays only if no row of its group has an id.  `keep_one` leaves exactly one row of each
 group: of the rows with the largest id (null if there is no other) one chosen by a hash of all columns.  Rows of an empty table give an
-empty result, and columns beyond the id and the text come back as they were, unless they bear a name of the result, which
-the result then takes.
+empty result.  Columns beyond the id and the text come back as they were, whatever their names: inside, the caller's columns have
+names by their places.  Only in `exact_dedup` a name of the result takes the place of a column that bears it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 #: Characters of the prefix that is hashed in the second step.
 PREFIX = 128
@@ -64,23 +64,26 @@ def flagged(rows: DataFrame, pairs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX, digest: str | None = None) -> DataFrame:
     """All rows of `df` without its text, with keep_id, group_size and kept, and the full hash of every row if it is named."""
-    reserved = ("keep_id", "group_size", "kept", digest, "_length", "_prefix", "_full", "_slot", "_again", "_keep", "_size")
-    own = [c for c in df.columns if c not in reserved]
-    rows = marked(df.select(*own), text, prefix)
+    names = [c for c in df.columns if c not in ("keep_id", "group_size", "kept", digest)]
+    inner, (key, text) = numbered(df.select(*names), key, text)
+    own = inner.columns
+    rows = marked(inner, text, prefix)
     full = F.sha2(normal_form(text), 256)
     read = flagged(rows, repeated(rows)).withColumn("_full", full if digest else F.when(F.col("_again"), full)).drop(text)
     read = materialize(read, "read")
     some = read.where("_again")
     copies = materialize(some.groupBy(*GROUP).agg(F.max(key).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "copies")
-    lone = read.where("NOT _again").withColumns({"_keep": F.lit(None).cast(df.schema[key].dataType), "_size": F.lit(None).cast("long")})
+    lone = read.where("NOT _again").withColumns({"_keep": F.lit(None).cast(inner.schema[key].dataType), "_size": F.lit(None).cast("long")})
     both = lone.unionByName(some.join(copies, GROUP, "left"))
     keep = F.when(F.col("_size").isNull(), F.col(key)).otherwise(F.col("_keep"))
-    out = [F.col(c) for c in own if c != text] + [keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(keep).alias("kept")]
+    out = [F.col(c).alias(name) for c, name in zip(own, names, strict=True) if c != text] + [keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col(key).eqNullSafe(keep).alias("kept")]
     return both.select(*out, *([F.col("_full").alias(digest)] if digest else []))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
     """`df` with one row of each group of equal texts."""
+    given = df.columns
+    df, (key, text) = numbered(df, key, text)
     columns = df.columns
     rows = marked(df, text, prefix)
     read = flagged(rows, repeated(rows))
@@ -95,5 +98,5 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", prefix: int
     stay = lone.unionByName(some.join(hint(gone.select("_a", "_b")), ["_a", "_b"], "left_anti").select(*columns))
     twins = gone.where("_stays").select("_a", "_b")  # rows that repeat in all columns
     if twins.isEmpty():
-        return stay
-    return stay.unionByName(some.join(hint(twins), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*columns))
+        return stay.toDF(*given)
+    return stay.unionByName(some.join(hint(twins), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*columns)).toDF(*given)

@@ -148,8 +148,10 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
 
 
 def predict(df: DataFrame, profiles: Profiles, keep: list[str | Column], text: str = "text", result: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns `keep` of `df` with the predicted language and its score."""
+    """The columns `keep` of `df` with the predicted language and its score, whose names none of the kept columns may bear."""
     kept = df.select(*keep).columns
+    if {c.lower() for c in kept} & {c.lower() for c in result}:
+        raise ValueError(f"a kept column bears a name of the result: {result}")
     own = [f"_{i}" for i in range(len(kept))]
     inner = df.select(*[F.col(c) if isinstance(c, str) else c for c in keep], F.col(text).alias("_text")).toDF(*own, "_text")
     types = dict(inner.dtypes)
@@ -158,8 +160,8 @@ def predict(df: DataFrame, profiles: Profiles, keep: list[str | Column], text: s
         for batch in batches:
             for part in common.slices(batch, "_text"):
                 got = [profiles.predict(t.as_py()) for t in part.column("_text")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*own, *result])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*own, "_lang", "_score"])
 
     common.bounded_batches(df.sparkSession)
-    out = inner.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in own) + f", `{result[0]}` string, `{result[1]}` double")
+    out = inner.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in own) + ", _lang string, _score double")
     return out.toDF(*kept, *result)

@@ -249,8 +249,10 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """`df` without the rows of a component that are not its first by (id, hash of all columns); null ids come last.
 
-    Rows that repeat in all columns have one name: all of them stay or go.
+    Rows that repeat in all columns have one name: all of them stay or go.  All columns come back as they were, whatever their names.
     """
+    names = df.columns
+    df, (key, text) = common.numbered(df, key, text)
     columns = df.columns
     name = {"_a": F.xxhash64(*columns), "_b": F.xxhash64(F.lit(1), *columns)}
     last = F.lit(2**63 - 1) - F.pmod(F.col("_a"), F.lit(1 << 40))  # no document id is as large
@@ -259,4 +261,4 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     best = members.groupBy("component").agg(F.min(F.struct("id", "_a", "_b")).alias("best"))
     gone = materialize(members.join(best, "component").where((F.col("_a") != F.col("best._a")) | (F.col("_b") != F.col("best._b"))).select("_a", "_b").distinct(), "gone")
     hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
-    return df.withColumns(name).join(hint(gone), ["_a", "_b"], "left_anti").select(*columns)
+    return df.withColumns(name).join(hint(gone), ["_a", "_b"], "left_anti").select(*columns).toDF(*names)
