@@ -54,7 +54,7 @@ def vector_allpairs_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return final(keyword.term_weights(keyword.index(documents(spark, d))), "term", "df", "idf")
+    return final(keyword.term_weights(keyword.term_counts(documents(spark, d))), "term", "df", "idf")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
