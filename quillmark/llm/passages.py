@@ -18,7 +18,7 @@ is a repeat if the same words also start in a document with a smaller id.  Words
 A document whose anchors recur nowhere holds no occurrence, so that only the others are sent to automata, each to the
 shards that it borrows from.  Tables between the steps are numbers; a hot passage is one row of a table whose join with the
 documents that hold it can be split, and its documents go to as many parts as they need.  The hashes of steps 1 and 2 (128
-bits for each content or window) only choose lenders; what is removed has been compared.
+bits with the anchor, for each content or window) only choose lenders; what is removed has been compared.
 
 Null texts have no words.  Rows with a null id are left as they are and lend nothing.  Rows that repeat an id do not lend to
 each other; each is taken by its own text.  Columns beyond id and text come back if `keep` asks for them.  Memory is bounded
@@ -45,6 +45,8 @@ from .minhash import mix
 GRAM = 20
 #: Words of passages in a shard, and bytes of text that are streamed through an automaton in one part.
 SHARD_WORDS, PART_BYTES = 30_000, 2_000_000
+#: Rows of a table of numbers that are sent to all tasks at most; beyond it texts are exchanged to meet them.
+BROADCAST_ROWS = 500_000
 #: Odd numbers that rolling hashes are made with.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -130,57 +132,61 @@ def stretch_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def window_rows(rows: DataFrame, some: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, anchor, s, n, id, h, lo, last) of every window of the stretches `some` (anchor, s, n, id, h, lo, last)."""
+    """(anchor, w, s, id, last) of every window of the stretches `some` (anchor, s, n, id, h, lo, last)."""
     kind = rows.schema["id"].dataType.simpleString()
     lent = some.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "s", "n", "lo", "last")).alias("own"))
-    numbers = ["anchor", "s", "n", "lo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ends, words = words_of(common.texts_of(part))
-                hashed = word_hashes(words)
-                one, two = Rolling(hashed, BASES[0]), Rolling(mix(hashed), BASES[1])
+                rolling = Rolling(word_hashes(words), BASES[0])
                 own = part.column("own")
                 row = np.repeat(np.arange(part.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False))
                 fields = dict(zip([f.name for f in own.type.value_type], own.flatten().flatten(), strict=True))
                 count, lo = (fields[c].to_numpy(zero_copy_only=False) for c in ("n", "lo"))
                 begin = common.gather(np.arange(int(ends[-1]) + 1), ends[row] + lo, count)
-                which = pa.array(np.repeat(np.arange(len(row)), count))
-                source = pa.array(np.repeat(row, count))
-                hashes = [pa.array(x.of(begin, begin + window).view(np.int64)) for x in (one, two)]
-                columns = [*hashes, *(fields[c].take(which) for c in numbers), part.column("id").take(source), part.column("h").take(source), fields["last"].take(which)]
-                yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", *numbers, "id", "h", "last"])
+                which, source = pa.array(np.repeat(np.arange(len(row)), count)), pa.array(np.repeat(row, count))
+                columns = [fields["anchor"].take(which), pa.array(rolling.of(begin, begin + window).view(np.int64)), fields["s"].take(which), part.column("id").take(source), fields["last"].take(which)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "w", "s", "id", "last"])
 
     common.bounded_batches(rows.sparkSession)
-    read = rows.join(lent, ["id", "h"]).select("id", "h", "text", "own").dropDuplicates(["id", "h"])
-    return read.mapInArrow(run, f"w1 long, w2 long, anchor long, s long, n long, lo long, id {kind}, h long, last {kind}")
+    read = rows.join(small(materialize(lent, "several"), some.count()), ["id", "h"]).select("id", "h", "text", "own")
+    return read.mapInArrow(run, f"anchor long, w long, s long, id {kind}, last {kind}")
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, to be sent to all tasks if it is counted to be small; `rows` are counted by the caller where they are arrays."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def confirmed(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(borrowers (id, h, lid, lh), lent stretches (id, h, lo, n)): who shares windows with which document of a smaller id."""
-    content = ["anchor", "s", "n"]
+    content = ["anchor", "s"]
     found = materialize(stretch_rows(rows, window, gram), "stretches")
-    whole = materialize(found.groupBy(*content).agg(F.min(F.struct("id", "h", "lo")).alias("first"), F.max("id").alias("last")), "contents")
+    anchors = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("s").alias("a"), F.max("s").alias("b"))
+    anchors = materialize(anchors.where("least < most").select("anchor", F.expr("a <> b").alias("several")), "anchors")
+    live = materialize(found.join(small(anchors), "anchor"), "live")
+    whole = live.groupBy(*content).agg(F.min(F.struct("id", "h", "lo", "n")).alias("first"), F.max("id").alias("last"), F.first("several").alias("several"))
+    whole = materialize(whole, "contents")
     shared = whole.where("first.id < last")
     lenders = shared.select(*content, F.col("first.id").alias("lid"), F.col("first.h").alias("lh"))
-    lent = shared.select("first.id", "first.h", "first.lo", "n")
 
-    several = whole.groupBy("anchor").agg(F.min("first.id").alias("least"), F.max("last").alias("most"), F.count("*").alias("contents")).where("contents > 1 AND least < most")
-    some = whole.join(several.select("anchor"), "anchor", "left_semi").select(*content, "first.*", "last")
-    windows = materialize(window_rows(rows, some, window), "windows")
-    own = F.struct(*content)
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "h", "lo", "n")).alias("first"), F.max("last").alias("most"), F.min(own).alias("a"), F.max(own).alias("b"))
-    first = materialize(first.where("a <> b AND first.id < most").select("w1", "w2", "first"), "first")
-    later = windows.join(first, ["w1", "w2"]).where("last > first.id").select(*content, F.col("first.id").alias("lid"), F.col("first.h").alias("lh")).distinct()
+    windows = materialize(window_rows(rows, whole.where("several").select(*content, "first.*", "last"), window), "windows")
+    first = windows.groupBy("anchor", "w").agg(F.min(F.struct("id", "s")).alias("lend"), F.max("last").alias("most"), F.count("*").alias("n"))
+    first = materialize(first.where("n > 1 AND lend.id < most").select("anchor", "w", "lend"), "first")
+    later = windows.join(small(first), ["anchor", "w"]).where("last > lend.id").select(*content, F.col("lend.s").alias("ls")).distinct()
+    lent = whole.select("anchor", F.col("s").alias("ls"), F.col("first.id").alias("lid"), F.col("first.h").alias("lh"), "first.lo", "first.n")
+    later = materialize(later.join(lent, ["anchor", "ls"]).select(*content, "lid", "lh", "lo", "n"), "later")
 
-    lenders = materialize(lenders.union(later).distinct(), "lenders")
-    borrowers = found.select(*content, "id", "h").join(lenders, content).where("id > lid").select("id", "h", "lid", "lh").distinct()
-    return materialize(borrowers, "borrowers"), materialize(lent.union(first.select("first.id", "first.h", "first.lo", "first.n")).distinct(), "lent")
+    lenders = materialize(lenders.union(later.select(*content, "lid", "lh")).distinct(), "lenders")
+    borrowers = live.select(*content, "id", "h").join(lenders, content).where("id > lid").select("id", "h", "lid", "lh").distinct()
+    lent = shared.select("first.id", "first.h", "first.lo", "first.n").union(later.select("lid", "lh", "lo", "n")).distinct()
+    return materialize(borrowers, "borrowers"), materialize(lent, "lent")
 
 
 def lent_passages(rows: DataFrame, lent: DataFrame, window: int) -> DataFrame:
-    """(lid, lh, passage, words): the lent stretches as passages, where those that meet are one."""
+    """(lid, lh, passage, words): the lent stretches as passages; those that meet are one."""
     kind = rows.schema["id"].dataType.simpleString()
     ranges = lent.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("own"))
 
@@ -188,7 +194,7 @@ def lent_passages(rows: DataFrame, lent: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ends, words = words_of(common.texts_of(part))
-                source, passages, sizes = [], [], []
+                source, passages, sizes, starts = [], [], [], []
                 for i, own in enumerate(part.column("own").to_pylist()):
                     merged: list[list[int]] = []
                     for r in own:
@@ -199,13 +205,15 @@ def lent_passages(rows: DataFrame, lent: DataFrame, window: int) -> DataFrame:
                     for a, b in merged:
                         source.append(i)
                         sizes.append(b - a + window - 1)
+                        starts.append(a)
                         passages.append(" ".join(words.slice(int(ends[i]) + a, sizes[-1]).to_pylist()))
                 at = pa.array(source, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("h").take(at), pa.array(passages, pa.string()), pa.array(sizes, pa.int64())], ["lid", "lh", "passage", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("h").take(at), pa.array(starts, pa.int64()), pa.array(passages, pa.string()), pa.array(sizes, pa.int64())], ["lid", "lh", "start", "passage", "words"])
 
     common.bounded_batches(rows.sparkSession)
-    read = rows.join(ranges, ["id", "h"]).select("id", "h", "text", "own").dropDuplicates(["id", "h"])
-    return read.mapInArrow(run, f"lid {kind}, lh long, passage string, words long")
+    read = rows.join(small(materialize(ranges, "ranges"), lent.count()), ["id", "h"]).select("id", "h", "text", "own")
+    out = read.mapInArrow(run, f"lid {kind}, lh long, start long, passage string, words long")
+    return out.dropDuplicates(["lid", "lh", "start"]).drop("start")  # rows that repeat lend once
 
 
 class Shard:
@@ -277,11 +285,11 @@ def occurrences(rows: DataFrame, borrowers: DataFrame, passages: DataFrame, wind
     size = passages.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("lid", "lh"), F.lit(shards)).alias("shard")
-    sent = borrowers.select("id", "h", shard).distinct()
-    sent = materialize(rows.join(sent, ["id", "h"]).select("shard", "id", "h", "text").dropDuplicates(["shard", "id", "h"]), "sent")
+    sent = small(materialize(borrowers.select("id", "h", shard).distinct(), "routes"))
+    sent = materialize(rows.join(sent, ["id", "h"]).select("shard", "id", "h", "text"), "sent")
     parts = sent.groupBy("shard").agg((1 + F.sum(F.octet_length("text")) / PART_BYTES).cast("long").alias("parts"))
     parts = materialize(parts, "parts")
-    left = sent.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts"))).drop("parts")
+    left = sent.join(parts, "shard").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts"))).drop("parts")
     right = passages.select(shard, "lid", "passage").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
     def run(texts: pa.Table, lent: pa.Table) -> pa.Table:
@@ -309,7 +317,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     rows = texts_of_rows(df, key, text)
     borrowers, lent = confirmed(rows, window, gram)
     passages = materialize(lent_passages(rows, lent, window), "passages")
-    found = materialize(occurrences(rows, borrowers, passages, window), "occurrences")
+    found = materialize(occurrences(rows, borrowers, passages, window).distinct(), "occurrences")
     gone = materialize(found.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("gone")), "gone")
 
     kept = df.select(*keep).columns
@@ -333,6 +341,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(n - np.diff(left)), texts, *(part.column(c) for c in own)], ["id", "n_words", "n_removed", "kept_text", *own])
 
     common.bounded_batches(df.sparkSession)
-    read = inner.join(gone, ["id", "h"], "left").select("id", "text", "gone", *own)
+    read = inner.join(small(gone, found.count()), ["id", "h"], "left").select("id", "text", "gone", *own)
     schema = f"id {types['id']}, n_words long, n_removed long, kept_text string" + "".join(f", {c} {types[c]}" for c in own)
     return read.mapInArrow(run, schema).toDF(key, "n_words", "n_removed", "kept_text", *kept)
