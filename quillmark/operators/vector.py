@@ -1,7 +1,8 @@
 """Exact vector search: cosine top-k of a query set against all rows, norm alignment and vector statistics.
 
-Search multiplies blocks: a task holds a block of queries (a stated query set, in parts if it is large) and emits only each block's k best rows per query, so what is shuffled grows with queries and tasks, not with the
-table.  A zero vector has similarity 0 with everything.
+Search multiplies blocks: a task holds a group of queries (a stated query set, in parts if it is large) and emits only each
+batch's k best rows per query, so what is shuffled grows with queries and tasks, not with the table.  A zero vector has similarity
+0 with everything.  `vector_index` has the same search over an index that leaves blocks out.
 """
 
 from __future__ import annotations
@@ -52,34 +53,39 @@ def matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return good, flat[offsets[:-1][good][:, None] + np.arange(dimension)]
 
 
+def query_groups(queries: DataFrame, size: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Queries (qid, vector) in groups of about `size`, each as {length: (ids, vectors)}; one empty group if there are none."""
+    asked = queries.where("vector IS NOT NULL AND size(vector) > 0").select("qid", "vector")
+    groups = max(1, -(-asked.count() // size))
+    for g in range(groups):
+        some = asked if groups == 1 else asked.where(F.pmod(F.xxhash64("qid", "vector"), F.lit(groups)) == g)
+        found: dict[int, list] = {}
+        for r in some.orderBy("qid").collect():
+            found.setdefault(len(r.vector), []).append((r.qid, r.vector))
+        yield {d: (np.array([q for q, _ in own], np.int64), np.array([v for _, v in own], np.float64)) for d, own in found.items()}
+
+
 def search(corpus: DataFrame, queries: DataFrame, k: int, by_type: bool = False, threshold: float | None = None) -> DataFrame:
     """(qid, doc_id, doc_type, score, rank): the k most similar rows of `corpus` (doc_id, doc_type, vector) for each of
-    `queries` (qid, vector); with `by_type`, k of each type.
+    `queries` (qid, vector), among vectors of its length; with `by_type`, k of each type.
 
-    A counted, small query set travels with the tasks.  A larger one is cut into blocks, which meet chunks of the corpus.
+    Queries travel with the tasks, a bounded number at a time: each such group is one scan of the corpus.
     """
-    asked = queries.where("vector IS NOT NULL AND size(vector) > 0").select("qid", "vector")
-    n = asked.count()
-    rows = corpus.select("doc_id", "doc_type", "vector")
-    if n <= QUERY_BLOCK:
-        own = [(r.qid, r.vector) for r in asked.orderBy("qid").collect()]
-        found = rows.mapInArrow(lambda batches: (best_of_block(batch, own, k, by_type, threshold) for batch in batches), FOUND)
-    else:
-        found = block_product(rows, asked, -(-n // QUERY_BLOCK), k, by_type, threshold)
-    return ranked(found, *(("qid", "doc_type") if by_type else ("qid",))).where(F.col("rank") <= k)
-
-
-def best_of_block(batch: pa.RecordBatch, asked: list, k: int, by_type: bool, threshold: float | None) -> pa.RecordBatch:
-    """The k best rows of a batch (doc_id, doc_type, vector) for each query."""
-    if not batch.num_rows or not asked:
+    rows, out = corpus.select("doc_id", "doc_type", "vector"), None
+    for asked in query_groups(queries, QUERY_BLOCK):
+        found = rows.mapInArrow(lambda batches, own=asked: (best_of_block(batch, ids, v, k, by_type, threshold) for batch in batches for ids, v in own.values()), FOUND)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, *(("qid", "doc_type") if by_type else ("qid",))).where(F.col("rank") <= k)
+
+
+def best_of_block(batch: pa.RecordBatch, ids: np.ndarray, asked: np.ndarray, k: int, by_type: bool, threshold: float | None) -> pa.RecordBatch:
+    """The k best rows of a batch (doc_id, doc_type, vector) for each of some queries of one length."""
+    if not batch.num_rows:
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.float64())], ["qid", "doc_id", "doc_type", "score"])
-    ids = np.array([q for q, _ in asked], np.int64)
-    dimension = len(asked[0][1])
-    wanted = unit(np.array([v for _, v in asked], np.float64).reshape(len(asked), dimension))
-    good, rows = matrix(batch.column("vector"), dimension)
+    good, rows = matrix(batch.column("vector"), asked.shape[1])
     docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[good]
     kinds = np.array(batch.column("doc_type").to_pylist(), object)[good]
-    scores = wanted @ unit(rows).T
+    scores = unit(asked) @ unit(rows).T
     places = np.round(scores, COMPARED)
     which, column = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for kind in np.unique(kinds.astype(str)) if by_type else [None]:
@@ -96,28 +102,6 @@ def best_of_block(batch: pa.RecordBatch, asked: list, k: int, by_type: bool, thr
     return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(docs[d]), pa.array(kinds[d], pa.string()), pa.array(scores[q, d])], ["qid", "doc_id", "doc_type", "score"])
 
 
-def block_product(rows: DataFrame, asked: DataFrame, blocks: int, k: int, by_type: bool, threshold: float | None) -> DataFrame:
-    """Every chunk of the corpus (a row with a batch of vectors) with every block of queries (a row of bounded size)."""
-    block = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "vector")).alias("asked"))
-    kind = rows.schema["vector"].dataType.simpleString()
-
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ends = pa.array([0, batch.num_rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("doc_id", "doc_type", "vector")], ["doc_id", "doc_type", "vector"])
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                own = [(r["qid"], r["vector"]) for r in batch.column("asked")[n].as_py()]
-                part = pa.RecordBatch.from_arrays([batch.column(c)[n].values for c in ("doc_id", "doc_type", "vector")], ["doc_id", "doc_type", "vector"])
-                yield best_of_block(part, own, k, by_type, threshold)
-
-    chunks = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "doc_type", "vector").mapInArrow(chunk, f"doc_id array<long>, doc_type array<string>, vector array<{kind}>")
-    return chunks.crossJoin(block.select("asked")).mapInArrow(product, FOUND)
-
-
 def rescaled(a: Column, target: float | Column) -> Column:
     """The vector at another norm (a zero vector stays); similarity does not change."""
     size = norm(a)

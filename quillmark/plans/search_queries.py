@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import content, fusion, keyword, quality, ranking, vector
+from ..operators import content, fusion, keyword, quality, ranking, vector, vector_index
+from ..session import own_folder
 from .common import SIMS_SQL, V_SQL, bm_run, bm_top, documents, final, item_vectors, items, keyword_run, rank_sql, sem_top, semantic_run, table, vector_queries, vectors
 
 K, WIDE = 10, 20
@@ -19,6 +20,14 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return final(searched(spark, d), "qid", "doc_id", "doc_type", "score", "rank")
 
 
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """`vector_topk` from an index that is written and read in the query."""
+    folder = own_folder(spark, "vectors")
+    vector_index.save_index(vectors(spark, d), folder)
+    found = vector_index.search_index(vector_index.load_index(spark, folder, vectors(spark, d)), vector_queries(spark, d).select("qid", "vector"), K)
+    return final(found, "qid", "doc_id", "doc_type", "score", "rank")
+
+
 def vector_topk_by_type(spark: SparkSession, d: str) -> DataFrame:
     first, second = ranking.split_counts(K)
     run = searched(spark, d, max(first, second), by_type=True)
@@ -61,6 +70,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return final(keyword_run(spark, d, K), "qid", "doc_id", "score", "rank")
 
 
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """`bm25_topk` from an index that is written and read in the query."""
+    folder = own_folder(spark, "keywords")
+    keyword.save_index(documents(spark, d), folder)
+    return final(keyword.search_index(keyword.load_index(spark, folder, documents(spark, d)), items(spark, d), K), "qid", "doc_id", "score", "rank")
+
+
 def bm25_query_boosted(spark: SparkSession, d: str) -> DataFrame:
     own = items(spark, d).withColumn("text", keyword.boosted("text", keyword.latin_tokens("text")))
     return final(keyword.search(documents(spark, d), own, K), "qid", "doc_id", "score", "rank")
@@ -209,6 +225,7 @@ boosted AS (SELECT *, CASE WHEN n <= 10 OR (total >= t AND n <= 50) OR original
 
 SQL = {
     "vector_topk": f"{TOP} SELECT qid, doc_id, doc_type, round(score, 6) AS score, rank FROM t",
+    "vector_index_topk": f"{TOP} SELECT qid, doc_id, doc_type, round(score, 6) AS score, rank FROM t",
     "vector_topk_by_type": f"{BOTH} SELECT qid, doc_type, doc_id, round(score, 6) AS score, own AS rank FROM b WHERE own <= 5",
     "consistency_search": f"{BOTH} SELECT qid, doc_type, doc_id, round(score, 6) AS score, own AS rank FROM b WHERE doc_type = 'B' OR own <= 3",
     "vector_threshold": f"WITH {SIMS_SQL} SELECT qid, doc_id, round(score, 6) AS score, {rank_sql()} AS rank FROM sims WHERE score >= 0.3 QUALIFY rank <= 50",
@@ -220,6 +237,7 @@ SQL = {
 SELECT count(*) AS pairs, round(avg(x), 6) AS mean_similarity, round(stddev_pop(x), 6) AS std_similarity, round(min(x), 6) AS min_similarity, round(max(x), 6) AS max_similarity FROM p""",
     "bm25_index_stats": f"WITH {bm_run()} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {bm_top(K)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm",
+    "bm25_index_topk": f"WITH {bm_top(K)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm",
     "bm25_query_boosted": "WITH "
     + bm_run("SELECT qid, unnest(list_concat(l, l[1:5])) AS term FROM (SELECT item_id AS qid, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS l FROM benchmark)")
     + f" SELECT qid, doc_id, round(score, 6) AS score, {rank_sql()} AS rank FROM bmall QUALIFY rank <= {K}",
@@ -253,8 +271,8 @@ SELECT qid, doc_id, doc_type, round(score, 6) AS score, {rank_sql()} AS rank FRO
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_by_type, vector_threshold, vector_paged, vector_by_id, vector_align_norm, vector_calibrate, vector_allpairs_stats,
-        bm25_index_stats, bm25_topk, bm25_query_boosted, rrf_fusion, hybrid_search, weighted_fusion, fusion_final, enhanced_rrf, path_confidence,
+        vector_topk, vector_index_topk, vector_topk_by_type, vector_threshold, vector_paged, vector_by_id, vector_align_norm, vector_calibrate, vector_allpairs_stats,
+        bm25_index_stats, bm25_topk, bm25_index_topk, bm25_query_boosted, rrf_fusion, hybrid_search, weighted_fusion, fusion_final, enhanced_rrf, path_confidence,
         final_confidence, adaptive_boost, diversity_rank, merge_simple, merge_interleaved, merge_balanced, type_then_similarity, position_decay,
         ranking_stats, result_metadata, type_counts, dq_vector_norms, kmeans_clusters, consistency_search,
     )
