@@ -45,8 +45,6 @@ from .minhash import mix
 GRAM = 20
 #: Words of passages in a shard, and bytes of text that are streamed through an automaton in one part.
 SHARD_WORDS, PART_BYTES = 30_000, 2_000_000
-#: Rows of a table of numbers that are sent to all tasks at most; beyond it texts are exchanged to meet them.
-BROADCAST_ROWS = 500_000
 #: Odd numbers that rolling hashes are made with.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -151,13 +149,15 @@ def window_rows(rows: DataFrame, some: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "w", "s", "id", "last"])
 
     common.bounded_batches(rows.sparkSession)
-    read = rows.join(small(materialize(lent, "several"), some.count()), ["id", "h"]).select("id", "h", "text", "own")
+    read = rows.join(met(materialize(lent, "several")), ["id", "h"]).select("id", "h", "text", "own")
     return read.mapInArrow(run, f"anchor long, w long, s long, id {kind}, last {kind}")
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The table, to be sent to all tasks if it is counted to be small; `rows` are counted by the caller where they are arrays."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def met(df: DataFrame) -> DataFrame:
+    """A table of numbers as the side of a join that is looked up, part by part: texts are exchanged to it but not sorted, alike at
+    any size.
+    """
+    return df.hint("shuffle_hash")
 
 
 def confirmed(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +166,7 @@ def confirmed(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataF
     found = materialize(stretch_rows(rows, window, gram), "stretches")
     anchors = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("s").alias("a"), F.max("s").alias("b"))
     anchors = materialize(anchors.where("least < most").select("anchor", F.expr("a <> b").alias("several")), "anchors")
-    live = materialize(found.join(small(anchors), "anchor"), "live")
+    live = materialize(found.join(met(anchors), "anchor"), "live")
     whole = live.groupBy(*content).agg(F.min(F.struct("id", "h", "lo", "n")).alias("first"), F.max("id").alias("last"), F.first("several").alias("several"))
     whole = materialize(whole, "contents")
     shared = whole.where("first.id < last")
@@ -175,12 +175,12 @@ def confirmed(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataF
     windows = materialize(window_rows(rows, whole.where("several").select(*content, "first.*", "last"), window), "windows")
     first = windows.groupBy("anchor", "w").agg(F.min(F.struct("id", "s")).alias("lend"), F.max("last").alias("most"), F.count("*").alias("n"))
     first = materialize(first.where("n > 1 AND lend.id < most").select("anchor", "w", "lend"), "first")
-    later = windows.join(small(first), ["anchor", "w"]).where("last > lend.id").select(*content, F.col("lend.s").alias("ls")).distinct()
+    later = windows.join(met(first), ["anchor", "w"]).where("last > lend.id").select(*content, F.col("lend.s").alias("ls")).distinct()
     lent = whole.select("anchor", F.col("s").alias("ls"), F.col("first.id").alias("lid"), F.col("first.h").alias("lh"), "first.lo", "first.n")
     later = materialize(later.join(lent, ["anchor", "ls"]).select(*content, "lid", "lh", "lo", "n"), "later")
 
     lenders = materialize(lenders.union(later.select(*content, "lid", "lh")).distinct(), "lenders")
-    borrowers = live.select(*content, "id", "h").join(lenders, content).where("id > lid").select("id", "h", "lid", "lh").distinct()
+    borrowers = live.select(*content, "id", "h").join(met(lenders), content).where("id > lid").select("id", "h", "lid", "lh").distinct()
     lent = shared.select("first.id", "first.h", "first.lo", "first.n").union(later.select("lid", "lh", "lo", "n")).distinct()
     return materialize(borrowers, "borrowers"), materialize(lent, "lent")
 
@@ -211,7 +211,7 @@ def lent_passages(rows: DataFrame, lent: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("h").take(at), pa.array(starts, pa.int64()), pa.array(passages, pa.string()), pa.array(sizes, pa.int64())], ["lid", "lh", "start", "passage", "words"])
 
     common.bounded_batches(rows.sparkSession)
-    read = rows.join(small(materialize(ranges, "ranges"), lent.count()), ["id", "h"]).select("id", "h", "text", "own")
+    read = rows.join(met(materialize(ranges, "ranges")), ["id", "h"]).select("id", "h", "text", "own")
     out = read.mapInArrow(run, f"lid {kind}, lh long, start long, passage string, words long")
     return out.dropDuplicates(["lid", "lh", "start"]).drop("start")  # rows that repeat lend once
 
@@ -285,8 +285,8 @@ def occurrences(rows: DataFrame, borrowers: DataFrame, passages: DataFrame, wind
     size = passages.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("lid", "lh"), F.lit(shards)).alias("shard")
-    sent = small(materialize(borrowers.select("id", "h", shard).distinct(), "routes"))
-    sent = materialize(rows.join(sent, ["id", "h"]).select("shard", "id", "h", "text"), "sent")
+    routes = materialize(borrowers.select("id", "h", shard).distinct(), "routes")
+    sent = materialize(rows.join(met(routes), ["id", "h"]).select("shard", "id", "h", "text"), "sent")
     parts = sent.groupBy("shard").agg((1 + F.sum(F.octet_length("text")) / PART_BYTES).cast("long").alias("parts"))
     parts = materialize(parts, "parts")
     left = sent.join(parts, "shard").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts"))).drop("parts")
@@ -341,6 +341,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(n - np.diff(left)), texts, *(part.column(c) for c in own)], ["id", "n_words", "n_removed", "kept_text", *own])
 
     common.bounded_batches(df.sparkSession)
-    read = inner.join(small(gone, found.count()), ["id", "h"], "left").select("id", "text", "gone", *own)
+    read = inner.join(met(gone), ["id", "h"], "left").select("id", "text", "gone", *own)
     schema = f"id {types['id']}, n_words long, n_removed long, kept_text string" + "".join(f", {c} {types[c]}" for c in own)
     return read.mapInArrow(run, schema).toDF(key, "n_words", "n_removed", "kept_text", *kept)
