@@ -84,6 +84,13 @@ def contained(queries: DataFrame, words: DataFrame, text: str = "text", word: st
     return own.join(looked.join(known, "_run"), "_key").where(F.col(text).contains(F.col(word))).drop("_run", "_key")
 
 
+def near_names(names: DataFrame, others: DataFrame) -> DataFrame:
+    """(crime, accusation): names (crime) and others (accusation) one of which contains the other; empty names are near none."""
+    inside = contained(others.select("accusation").distinct(), names.select("crime").distinct(), "accusation", "crime")
+    around = contained(names.select("crime").distinct(), others.select("accusation").distinct(), "crime", "accusation")
+    return inside.select("crime", "accusation").union(around.select("crime", "accusation")).distinct()
+
+
 def lexicon_crimes(queries: DataFrame) -> DataFrame:
     """(qid, ord, crime_name, confidence, article_number) of lexicon words in queries (qid, text)."""
     low = queries.select("qid", F.lower("text").alias("text"))
@@ -136,7 +143,7 @@ def detect_crimes(queries: DataFrame, edges: DataFrame) -> DataFrame:
     spoken = F.concat(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)罪"), 1), F.regexp_extract_all("text", F.lit(r"(?U)(\w{2,4})犯罪"), 1))
     said = asked.select("qid", F.explode(spoken).alias("name")).withColumn("crime", plain_crime(F.col("name"))).join(simple, "crime").select("qid", "crime", F.lit(3).alias("tier"))
     share = F.length("text") / F.length("crime")
-    close = names.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.col("crime").contains(F.col("text")) & (F.col("text") != ""))
+    close = contained(names, asked, "crime", "text")  # names that contain a text: the same search the other way round
     close = close.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(share), "crime"))).where("n = 1").select("qid", "crime", F.lit(5).alias("tier"))
     every = whole.unionByName(tail).unionByName(inside).unionByName(said).unionByName(close)
     least = F.min("tier").over(Window.partitionBy("qid"))

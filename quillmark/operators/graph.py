@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Names that cases use for the same crime, articles that a crime may cite (five numbers around each),
-# and article numbers that do not exist.
-NAMED_CRIMES = ["盗窃", "故意伤害", "交通肇事", "诈骗", "抢劫", "强奸", "故意杀人", "危险驾驶", "寻衅滋事", "聚众斗殴", "受贿", "贪污", "行贿", "非法经营", "合同诈骗", "滥用职权"]
+# Articles that a crime may cite (five numbers around each), and article numbers that do not exist.
 SUFFIX = "罪"
 ALLOWED = {
     "盗窃": [264, 269, 270, 271],
@@ -226,6 +224,19 @@ def cases_of_relation(cases: DataFrame, crime: str, article: int, limit: int) ->
     return cases.where(near & F.array_contains("relevant_articles", article)).orderBy("case_id").limit(limit)
 
 
+def cases_of_relations(cases: DataFrame, pairs: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+    """(crime, article, case_id, place): for each of `pairs` (crime, article) the first cases that cite the article and accuse of the crime
+    or of a name `near` it (crime, accusation).  Cases are (case_id, accusations, relevant_articles).
+
+    Only equal values are joined: the articles of pairs with those of cases, then names.
+    """
+    cited = cases.select("case_id", "accusations", F.explode("relevant_articles").alias("article")).join(pairs.select("article").distinct(), "article", "left_semi")
+    each = cited.select("case_id", "article", F.explode("accusations").alias("accusation"))
+    found = each.join(near, "accusation").join(pairs.select("crime", "article").distinct(), ["crime", "article"]).select("crime", "article", "case_id").distinct()
+    place = F.row_number().over(Window.partitionBy("crime", "article").orderBy("case_id"))
+    return found.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def article_summary(cases: DataFrame, typical: int = 3) -> DataFrame:
     """Per article: cases, crimes, least, largest and mean months, typical cases."""
     each = cases.select("case_id", "crimes", "months", F.explode("articles").alias("article"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import eval_queries, graph_queries, report_queries, search_queries, stage_queries
+from . import entity_queries, eval_queries, graph_queries, report_queries, search_queries, stage_queries
 
-MODULES = (search_queries, graph_queries, eval_queries, report_queries, stage_queries)
+MODULES = (search_queries, graph_queries, eval_queries, report_queries, stage_queries, entity_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -465,3 +465,26 @@ def test_query_sets_and_graph_report_are_stored(spark, tmp_path):
     edges = spark.createDataFrame([("theft", 264)], "crime string, article int")
     assert tuple(tables.graph_report(edges).first()) == (1, "case_count", False)
     assert tuple(tables.graph_report(edges.withColumn("case_count", F.lit(2)).limit(0)).first()) == (0, "", False)
+
+
+def test_containment_both_ways_joins_equal_values(spark):
+    names = ["盗", "盗窃", "入户盗窃", "诈骗", "合同诈骗", "Brand#1", "Brand#12", "x", "", "长" * 50]
+    others = ["盗窃", "窃", "诈骗案", "Brand#12", "Brand", "长" * 30, "", "none"]
+    left = spark.createDataFrame([(n,) for n in names], "crime string")
+    right = spark.createDataFrame([(n,) for n in others] * 2, "accusation string")
+    near = entity.near_names(left, right)
+    assert {tuple(r) for r in near.collect()} == {(a, b) for a in names for b in others if a and b and (a in b or b in a)}
+    cases = spark.createDataFrame([(i, [others[i % 8], "other"], [i % 3, 7]) for i in range(40)] + [(99, None, [7]), (98, ["盗窃"], None)], "case_id long, accusations array<string>, relevant_articles array<int>")
+    pairs = spark.createDataFrame([(c, a) for c in names for a in (0, 7)] * 2, "crime string, article int")
+    got = graph.cases_of_relations(cases, pairs, near, 3)
+    want = {}
+    for c in names:
+        for a in (0, 7):
+            hits = [i for i in range(40) if a in (i % 3, 7) and c and any(x and (c in x or x in c) for x in (others[i % 8], "other"))]
+            want.update({(c, a, i): n for n, i in enumerate(hits[:3], 1)})
+    assert {(r.crime, r.article, r.case_id): r.place for r in got.collect()} == want
+    asked = spark.createDataFrame([(1, "盗窃"), (2, "天气")], "qid long, text string")
+    edges = spark.createDataFrame([("入户盗窃", 264, 1)], "crime string, article int, case_count long")
+    for df in (got, entity.detect_crimes(asked, edges)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
