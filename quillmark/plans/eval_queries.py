@@ -151,7 +151,7 @@ def streaming_rollup(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(own.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     trace.to_table(trace.tumbling(stream), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     plain = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return final(spark.read.parquet(f"{folder}/table").withColumns(plain))
+    return final(trace.read_table(spark, f"{folder}/table").withColumns(plain))
 
 
 JUDGED = f"""WITH {SIMS_SQL}, run AS (SELECT *, {rank_sql()} AS rank, label = qlabel AS rel FROM sims WHERE doc_id <> qid QUALIFY rank <= {WIDE}),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import graph
 from ..operators.vector import norm_stats
+from . import versions
 
 ARTICLE = "article_number int, title string, content string, full_text string, chapter string, section string, related_cases array<string>, crime_types array<string>, document_id string"
 CASE = (
@@ -128,23 +129,41 @@ def save_vectors(df: DataFrame, path: str) -> DataFrame:
 
 
 def save_graph(edges: DataFrame, path: str, force: bool = False) -> bool:
-    """Write the edges unless the stored graph has the same totals; whether they were written."""
-    spark = edges.sparkSession
-    new = graph.fingerprint(edges).first()[0]
-    if not force and exists(spark, f"{path}/edges") and graph.fingerprint(load_graph(spark, path)).first()[0] == new:
-        return False
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Publish the edges as the store's new version unless it holds the same rows; whether they were published.
+
+    Readers see the version before until the new one is whole; a write that fails leaves it as it was.
+    """
+    spark, new = edges.sparkSession, versions.content(edges.select("crime", "article", "case_count"))
+    if not force:
+        try:
+            if versions.current(spark, path).details["content"] == new:
+                return False
+        except (versions.NoVersion, versions.Damaged):
+            pass  # there is nothing to keep
+    with versions.draft(spark, path) as draft:
+        own = draft.write("edges", edges)
+        draft.details.update(content=new, totals=graph.totals(own).first().asDict())
     return True
 
 
 def load_graph(spark: SparkSession, path: str) -> DataFrame:
-    """The stored edges; a graph without any is an error."""
-    edges = spark.read.parquet(f"{path}/edges")
+    """The published edges; a graph without any is an error."""
+    edges = versions.current(spark, path).table("edges")
     if {"crime", "article", "case_count"} - set(edges.columns) or edges.isEmpty():
         raise ValueError(f"no relation graph in {path}")
     return edges
 
 
+def graph_info(spark: SparkSession, path: str) -> dict:
+    """Version, totals and files of the published graph; empty without one."""
+    try:
+        now = versions.current(spark, path)
+    except versions.NoVersion:
+        return {}
+    own = now.manifest["tables"]["edges"]["files"]
+    return {"version": now.manifest["version"], "files": len(own), "bytes": sum(own.values()), **now.details["totals"]}
+
+
 def rebuild_graph(cases: DataFrame, path: str) -> DataFrame:
     """Extract the relations anew and store them."""
     save_graph(graph.extract_relations(cases), path, force=True)
@@ -171,12 +190,24 @@ def save_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def report_lines(rows: DataFrame) -> DataFrame:
+    """(line) of a table, in the order of its columns: numbers with four places, nothing for null."""
+    shown = [F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if t in ("double", "float") else F.col(c).cast("string"), F.lit("")) for c, t in rows.dtypes]
+    return rows.orderBy(*rows.columns).select(F.concat_ws(" | ", *shown).alias("line"))
+
+
+def save_text_report(rows: DataFrame, title: str, path: str) -> None:
+    """A table of any size as text files, whose names and lines are in order; the title is the first file's first line."""
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(title,), ("=" * len(title),)], "line string").coalesce(1)
+    head.unionByName(report_lines(rows)).write.mode("overwrite").text(path)
+
+
 def text_report(rows: DataFrame, title: str, most: int = 1_000) -> str:
-    """A small table as lines of text, ordered by its columns."""
-    out = [title, "=" * len(title)]
-    for r in rows.orderBy(*rows.columns).limit(most).collect():
-        out.append(" | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r))
-    return "\n".join(out)
+    """A small table as lines of text; of a larger one the first lines, and how many are left out."""
+    lines = [r.line for r in report_lines(rows).limit(most).collect()]
+    more = rows.count() - len(lines) if len(lines) == most else 0
+    return "\n".join([title, "=" * len(title), *lines, *([f"... and {more} more"] if more else [])])
 
 
 def save_queries(rows: DataFrame, path: str) -> DataFrame:

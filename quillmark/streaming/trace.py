@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import versions
+
 
 def measures() -> list[Column]:
     ok = F.col("value") > 50
@@ -50,8 +52,9 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
 def without_repeats(events: DataFrame, late: str | None = None) -> DataFrame:
     """Each event once, by event_id.
 
-    A stream without `late` remembers all ids: no row is lost in whatever order files come.  With it, ids are remembered
-    until the watermark passes; rows that come later than that are dropped, and `late_rows` counts them.
+    A stream without `late` remembers all ids, which nothing bounds: no row is lost in whatever order files come.  With it, ids are
+    remembered until the watermark passes; rows that come later than that are dropped, and `late_rows` counts them.
+    `state.told_apart` bounds its ids and drops nothing.
     """
     if events.isStreaming and late is not None:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
@@ -59,7 +62,9 @@ def without_repeats(events: DataFrame, late: str | None = None) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query's watermark has dropped, over the progress reports that the session keeps."""
+    """Rows that a query's watermark has dropped, over the progress reports that the session still keeps (the last hundred, unless
+    `spark.sql.streaming.numRecentProgressUpdates` says otherwise); of windows, rows after partial sums.
+    """
     return sum(op["numRowsDroppedByWatermark"] for report in query.recentProgress for op in report["stateOperators"])
 
 
@@ -76,11 +81,20 @@ def weight_bands(rows: DataFrame, weight: str, *group: str) -> DataFrame:
 
 
 def to_table(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """The whole result of a roll-up as a table, written anew with each batch."""
-    write = lambda df, _: df.write.mode("overwrite").parquet(folder)
+    """The whole result of a roll-up as a table that each batch publishes anew; `read_table` sees one batch's or the one's before."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        with versions.draft(df.sparkSession, folder) as new:
+            new.write("rows", df)
+            new.details["batch"] = batch
+
     return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_table(spark: SparkSession, folder: str) -> DataFrame:
+    return versions.current(spark, folder).table("rows")
+
+
 def to_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Every micro-batch to a function, exactly once per batch number."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -344,19 +344,43 @@ def test_sources(spark, tmp_path):
 def test_graph_store(spark, tmp_path):
     edges = spark.createDataFrame([("盗窃", 264, 3), ("诈骗", 266, 2)], "crime string, article int, case_count long")
     path = str(tmp_path / "graph")
+    assert tables.graph_info(spark, path) == {}
     assert tables.save_graph(edges, path) and not tables.save_graph(edges, path) and tables.save_graph(edges, path, force=True)
     assert tables.load_graph(spark, path).count() == 2 and tables.info(spark, path)["bytes"] > 100 and tables.info(spark, path + "-none") == {}
+    assert tables.graph_info(spark, path)["occurrences"] == 5
     tables.export_graph(edges, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["Crime", "Article", "CaseCount", "Type"]
     tables.export_graph(edges, str(tmp_path / "json"), "json")
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+    tables.save_graph(edges.limit(0), str(tmp_path / "empty"))
     with pytest.raises(ValueError):
-        tables.load_graph(spark, str(_empty(spark, tmp_path)))
+        tables.load_graph(spark, str(tmp_path / "empty"))
 
 
-def _empty(spark, tmp_path):
-    spark.createDataFrame([], "crime string, article int, case_count long").write.parquet(str(tmp_path / "empty/edges"))
-    return tmp_path / "empty"
+def test_graph_store_is_never_half_written(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    old = spark.createDataFrame([("盗窃", 264, 3), ("诈骗", 266, 2)], "crime string, article int, case_count long")
+    tables.save_graph(old, path)
+    reader = tables.load_graph(spark, path)
+    swapped = spark.createDataFrame([("盗窃", 266, 3), ("诈骗", 264, 2)], "crime string, article int, case_count long")
+    assert graph.fingerprint(old).first()[0] == graph.fingerprint(swapped).first()[0]  # equal totals
+    broken = swapped.withColumn("crime", F.when(F.col("article") == 264, F.raise_error(F.lit("half-way")).cast("string")).otherwise(F.col("crime")))
+    with pytest.raises(Exception, match="half-way"):
+        tables.save_graph(broken, path)
+    assert {r.article: r.crime for r in tables.load_graph(spark, path).collect()} == {264: "盗窃", 266: "诈骗"}
+    assert tables.save_graph(swapped, path)  # a changed edge is noticed
+    assert {r.article: r.crime for r in tables.load_graph(spark, path).collect()} == {264: "诈骗", 266: "盗窃"}
+    assert reader.count() == 2  # who has begun to read the old version goes on
+
+
+def test_reports_leave_nothing_out_unsaid(spark, tmp_path):
+    rows = spark.range(2500).select(F.col("id"), (F.col("id") / 8).alias("share"), F.lit(None).cast("string").alias("note"))
+    short = tables.text_report(rows, "Title", 3).split("\n")
+    assert short == ["Title", "=====", "0 | 0.0000 | ", "1 | 0.1250 | ", "2 | 0.2500 | ", "... and 2497 more"]
+    assert len(tables.text_report(rows.limit(3), "Title", 3).split("\n")) == 5
+    tables.save_text_report(rows, "Title", str(tmp_path / "report"))
+    lines = [line for part in sorted((tmp_path / "report").glob("part-*")) for line in part.read_text().split("\n") if line]
+    assert lines[0] == "Title" and len(lines) == 2502 and lines[2:] == [f"{i} | {i / 8:.4f} | " for i in range(2500)]
 
 
 def test_vector_package(spark, tmp_path):
@@ -379,7 +403,7 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = trace.read_stream(spark, str(tmp_path / "in"), events)
     trace.to_table(trace.tumbling(stream), str(tmp_path / "tumbled"), str(tmp_path / "c0")).awaitTermination()
     own = lambda df: sorted(tuple(map(str, r)) for r in df.withColumn("avg_value", F.round("avg_value", 6)).collect())
-    assert own(spark.read.parquet(str(tmp_path / "tumbled"))) == own(trace.tumbling(events))
+    assert own(trace.read_table(spark, str(tmp_path / "tumbled"))) == own(trace.tumbling(events))
     seen = []
     trace.to_batches(trace.without_repeats(stream), lambda df, n: seen.append(df.count()), str(tmp_path / "c1")).awaitTermination()
     assert sum(seen) == events.count() and len(seen) == 3
