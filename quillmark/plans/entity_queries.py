@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import entity, graph
-from .common import final, table
-from .graph_queries import CASES, cases
+from ..operators import entity, graph, lexicon
+from .common import documents, final, table
+from .graph_queries import CASES, STOP, STOPPED, cases
 
 CRIMES = sorted({crime.removesuffix("罪") for _, crime, _, _ in entity.LEXICON})
 #: Ways to ask about a crime, by the part's key; the places are for the crime, its first two characters, and the part's size.
@@ -58,6 +58,18 @@ def relation_cases_all(spark: SparkSession, d: str) -> DataFrame:
     return final(graph.cases_of_relations(own, pairs, near, 20))
 
 
+#: Endings that stand for the pattern of words in Latin texts, and steps of the ranking.
+ENDINGS, STEPS = "(ing|ed|er|ly)$", 10
+
+
+def ranked_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The words of all documents by tf-idf and rank together."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: (F.length(w) >= 2) & ~w.isin(STOP))
+    docs = documents(spark, d).select("doc_id", words.alias("words"))
+    ranked = lexicon.ranks(lexicon.neighbours(docs), STEPS)
+    return final(lexicon.combined(lexicon.tf_idf(docs), lexicon.by_rank(ranked), ENDINGS, STOP))
+
+
 def listed(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -73,7 +85,26 @@ WORD = r"[\p{L}\p{N}_]"
 LEXICON = "lexicon AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}', '{c}', {x}::DOUBLE, {n}::BIGINT)" for i, (w, c, x, n) in enumerate(entity.LEXICON)) + ") t(ord, word, crime_name, confidence, article_number))"
 FOUND = f"{ASKED}, {LEXICON}, found AS (SELECT qid, ord, crime_name, confidence, article_number FROM asked JOIN lexicon ON contains(lower(text), word))"
 
+def steps_sql() -> str:
+    """The power iteration, one common table a step."""
+    steps = ["r0 AS MATERIALIZED (SELECT DISTINCT a AS word, 1.0::DOUBLE AS rank FROM links)"]
+    steps += [f"r{i} AS MATERIALIZED (SELECT b AS word, 0.15 + 0.85 * sum(share * rank) AS rank FROM links JOIN r{i - 1} ON word = a GROUP BY b)" for i in range(1, STEPS + 1)]
+    return ", ".join(steps)
+
+
 SQL = {
+    "ranked_lexicon": f"""WITH docs AS (SELECT row_number() OVER () AS r, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPPED})) AS l FROM documents),
+t AS MATERIALIZED (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM docs),
+per AS (SELECT word, count(*) AS tf, count(DISTINCT r) AS df FROM t GROUP BY word),
+raws AS (SELECT word, tf * ln((1 + n) / (1 + df)) AS raw FROM per, (SELECT count(*) AS n FROM documents) ORDER BY round(tf * ln((1 + n) / (1 + df)), 6) DESC, word LIMIT 150),
+pairs AS (SELECT x.word AS a, y.word AS b FROM t x JOIN t y ON x.r = y.r AND y.p IN (x.p + 1, x.p + 2, x.p + 3, x.p + 4) WHERE x.word <> y.word),
+edges AS (SELECT a, b, count(*) AS w FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS share FROM edges), {steps_sql()},
+ends AS (SELECT min(rank) / 10 AS low, max(rank) AS high FROM r{STEPS}), tops AS (SELECT word, (rank - low) / (high - low) AS weight FROM r{STEPS}, ends ORDER BY round(rank, 9) DESC, word LIMIT 100),
+both_ways AS (SELECT word, raw / max(raw) OVER () * 0.7 AS weight FROM raws UNION ALL SELECT word, weight * 0.3 FROM tops),
+own AS (SELECT word, sum(weight) * CASE WHEN regexp_matches(word, '{ENDINGS}') THEN 1.3 ELSE 1.0 END AS weight, regexp_matches(word, '{ENDINGS}') AS follows FROM both_ways GROUP BY word)
+SELECT word, round(weight, 6) AS weight, CASE WHEN weight > 0.03 THEN 'high_weight' WHEN weight > 0.02 THEN 'legal_pattern' ELSE 'medium_weight' END AS category
+FROM own WHERE length(word) BETWEEN 2 AND 8 AND (follows OR weight > 0.015)""",
     "detect_crimes": f"""WITH {ASKED}, names AS (SELECT DISTINCT c AS crime FROM parts), simple AS (SELECT crime FROM names WHERE NOT regexp_matches(crime, '[\\[\\]、，]')),
 words AS (SELECT crime AS word, crime FROM names UNION ALL SELECT crime || '罪', crime FROM names UNION ALL SELECT substring(crime, 1, 2), max(crime) FROM names WHERE length(crime) > 2 GROUP BY 1),
 tiers AS (
@@ -103,4 +134,4 @@ hits AS (SELECT crime, article, case_id FROM pairs JOIN cases ON list_contains(a
 SELECT crime, article, case_id, row_number() OVER (PARTITION BY crime, article ORDER BY case_id) AS place FROM hits QUALIFY place <= 20""",
 }
 
-QUERIES = {f.__name__: f for f in (detect_crimes, detect_articles, lexicon_crimes, weighted_keywords, relation_cases_all)}
+QUERIES = {f.__name__: f for f in (detect_crimes, detect_articles, lexicon_crimes, weighted_keywords, relation_cases_all, ranked_lexicon)}
