@@ -263,6 +263,36 @@ def parse_classification(payload: Column) -> Column:
     return F.when(F.get_json_object(payload, "$").isNotNull(), F.struct(F.coalesce(own["is_criminal_law"], F.lit(False)).alias("is_criminal_law"), F.coalesce(own["confidence"], F.lit(0.0)).alias("confidence"), good.alias("identified_crimes"), F.coalesce(own["query2doc_enhanced"], F.lit("")).alias("query2doc_enhanced"), F.coalesce(own["hyde_hypothetical"], F.lit("")).alias("hyde_hypothetical"), words.alias("bm25_keywords")))
 
 
+def read_classification(payload: Column) -> Column:
+    """A classifier's JSON as a struct, field by field: a field that is missing, null or of another kind has its default and leaves the others
+    as they are; `errors` names fields that are there and can't be read, `payload` if the whole is no JSON object.
+
+    Crimes without a name and keywords without a word fall out; a keyword may be a plain string, of weight 1.
+    """
+    whole = F.try_parse_json(payload)
+    there = lambda path: F.try_variant_get(whole, path, "variant")
+    wrong = lambda path, value: there(path).isNotNull() & ~F.is_variant_null(there(path)) & value.isNull()
+    known = F.schema_of_variant(whole).startswith("OBJECT")
+    plain = {
+        "is_criminal_law": (F.try_variant_get(whole, "$.is_criminal_law", "boolean"), F.lit(False)),
+        "confidence": (F.try_variant_get(whole, "$.confidence", "double"), F.lit(0.5)),
+        "query2doc_generated": (F.try_variant_get(whole, "$.query2doc_generated", "string"), F.lit("")),
+        "hyde_answer": (F.try_variant_get(whole, "$.hyde_answer", "string"), F.lit("")),
+    }
+    crimes = F.try_variant_get(whole, "$.identified_crimes", "array<variant>")
+    named = F.transform(crimes, lambda c: F.struct(F.try_variant_get(c, "$.crime_name", "string").alias("crime_name"), F.try_variant_get(c, "$.relevance", "double").alias("relevance")))
+    words = F.try_variant_get(whole, "$.bm25_keywords", "array<variant>")
+    bare = lambda k: F.when(F.schema_of_variant(k) == "STRING", F.try_variant_get(k, "$", "string"))
+    said = F.transform(words, lambda k: F.struct(F.coalesce(bare(k), F.try_variant_get(k, "$.keyword", "string")).alias("keyword"), F.coalesce(F.try_variant_get(k, "$.weight", "double"), F.lit(1.0)).alias("weight")))
+    none = lambda kind: F.array().cast(kind)
+    fields = [F.coalesce(value, default).alias(name) for name, (value, default) in plain.items()]
+    fields.append(F.coalesce(F.filter(named, lambda c: F.coalesce(c["crime_name"], F.lit("")) != ""), none("array<struct<crime_name:string,relevance:double>>")).alias("identified_crimes"))
+    fields.append(F.coalesce(F.filter(said, lambda k: F.coalesce(k["keyword"], F.lit("")) != ""), none("array<struct<keyword:string,weight:double>>")).alias("bm25_keywords"))
+    flags = [F.when(wrong(f"$.{name}", value), F.lit(name)) for name, (value, _) in {**plain, "identified_crimes": (crimes, None), "bm25_keywords": (words, None)}.items()]
+    errors = F.when(~F.coalesce(known, F.lit(False)), F.array(F.lit("payload"))).otherwise(F.filter(F.array(*flags), lambda e: e.isNotNull()))
+    return F.struct(*fields, errors.alias("errors"))
+
+
 def route(crimes: Column, enhanced: Column, answer: Column, keywords: Column) -> Column:
     """The search paths whose input is there, in order; the plain search always is."""
     there = lambda c, name: F.when(c, F.lit(name))

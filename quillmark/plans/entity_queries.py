@@ -58,6 +58,26 @@ def relation_cases_all(spark: SparkSession, d: str) -> DataFrame:
     return final(graph.cases_of_relations(own, pairs, near, 20))
 
 
+#: Answers of a classifier, whole and broken, by a conversation's number; @ is its text.
+PAYLOADS = [
+    '{"is_criminal_law": true, "confidence": 0.9, "identified_crimes": [{"crime_name": "theft", "relevance": 0.8}, {"relevance": 0.4}, {"crime_name": "fraud", "relevance": "high"}], "query2doc_generated": "@", "hyde_answer": "@", "bm25_keywords": [{"keyword": "house", "weight": 0.7}, "night"]}',
+    '{"is_criminal_law": "perhaps", "confidence": "0.7", "identified_crimes": {"crime_name": "theft"}, "query2doc_generated": "@", "bm25_keywords": []}',
+    '{"is_criminal_law": false, "confidence": null, "identified_crimes": null, "hyde_answer": "@", "bm25_keywords": [{"weight": 0.2}, {"keyword": "", "weight": 1}]}',
+    '{"is_criminal_law": true, "confidence": [0.5], "query2doc_generated": "@"',
+    '["@"]',
+    '{"answer": {"confidence": 1}, "bm25_keywords": "@"}',
+]
+
+
+def classified(spark: SparkSession, d: str) -> DataFrame:
+    """Answers put together from the users' texts, read field by field."""
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", "")
+    payload = F.element_at(F.array(*map(F.lit, PAYLOADS)), (1 + F.col("conv_id") % len(PAYLOADS)).cast("int"))
+    own = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", entity.read_classification(F.replace(payload, F.lit("@"), safe)).alias("a"))
+    names = lambda field, part: F.array_join(F.transform(f"a.{field}", lambda x: x[part]), ",")
+    return final(own.select("conv_id", "turn", "a.is_criminal_law", "a.confidence", "a.query2doc_generated", "a.hyde_answer", names("identified_crimes", "crime_name").alias("crimes"), F.size(F.filter("a.identified_crimes", lambda c: c["relevance"].isNull())).alias("unsure"), names("bm25_keywords", "keyword").alias("keywords"), F.array_join("a.errors", ",").alias("errors")))
+
+
 #: Endings that stand for the pattern of words in Latin texts, and steps of the ranking.
 ENDINGS, STEPS = "(ing|ed|er|ly)$", 10
 
@@ -92,7 +112,21 @@ def steps_sql() -> str:
     return ", ".join(steps)
 
 
+FIELDS = {"is_criminal_law": "BOOLEAN", "confidence": "DOUBLE", "query2doc_generated": "VARCHAR", "hyde_answer": "VARCHAR"}
+WRONG = [f"CASE WHEN coalesce(json_type(j, '$.{f}'), 'NULL') <> 'NULL' AND (json_type(j, '$.{f}') IN ('ARRAY', 'OBJECT') OR TRY_CAST(json_extract_string(j, '$.{f}') AS {t}) IS NULL) THEN '{f}' END" for f, t in FIELDS.items()]
+WRONG += [f"CASE WHEN coalesce(json_type(j, '$.{f}'), 'NULL') NOT IN ('NULL', 'ARRAY') THEN '{f}' END" for f in ("identified_crimes", "bm25_keywords")]
+
 SQL = {
+    "classified": f"""WITH p AS (SELECT conv_id, turn, replace({listed(PAYLOADS)}[1 + conv_id % {len(PAYLOADS)}], '@', regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g')) AS payload FROM conversations WHERE role = 'user'),
+o AS (SELECT conv_id, turn, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END AS j FROM p)
+SELECT conv_id, turn, coalesce(TRY_CAST(json_extract_string(j, '$.is_criminal_law') AS BOOLEAN), false) AS is_criminal_law,
+  coalesce(CASE WHEN json_type(j, '$.confidence') <> 'ARRAY' THEN TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END, 0.5)::DOUBLE AS confidence,
+  coalesce(json_extract_string(j, '$.query2doc_generated'), '') AS query2doc_generated, coalesce(json_extract_string(j, '$.hyde_answer'), '') AS hyde_answer,
+  coalesce(array_to_string(list_filter(json_extract_string(j, '$.identified_crimes[*].crime_name'), lambda x: coalesce(x, '') <> ''), ','), '') AS crimes,
+  CASE WHEN conv_id % {len(PAYLOADS)} = 0 THEN 1 ELSE 0 END::BIGINT AS unsure,
+  coalesce(array_to_string(list_filter(list_transform(CASE WHEN json_type(j, '$.bm25_keywords') = 'ARRAY' THEN json_extract(j, '$.bm25_keywords[*]') END, lambda k: CASE WHEN json_type(k) = 'VARCHAR' THEN json_extract_string(k, '$') ELSE json_extract_string(k, '$.keyword') END), lambda x: coalesce(x, '') <> ''), ','), '') AS keywords,
+  CASE WHEN j IS NULL THEN 'payload' ELSE concat_ws(',', {", ".join(WRONG)}) END AS errors
+FROM o""",
     "ranked_lexicon": f"""WITH docs AS (SELECT row_number() OVER () AS r, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOPPED})) AS l FROM documents),
 t AS MATERIALIZED (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM docs),
 per AS (SELECT word, count(*) AS tf, count(DISTINCT r) AS df FROM t GROUP BY word),
@@ -134,4 +168,4 @@ hits AS (SELECT crime, article, case_id FROM pairs JOIN cases ON list_contains(a
 SELECT crime, article, case_id, row_number() OVER (PARTITION BY crime, article ORDER BY case_id) AS place FROM hits QUALIFY place <= 20""",
 }
 
-QUERIES = {f.__name__: f for f in (detect_crimes, detect_articles, lexicon_crimes, weighted_keywords, relation_cases_all, ranked_lexicon)}
+QUERIES = {f.__name__: f for f in (detect_crimes, detect_articles, lexicon_crimes, weighted_keywords, relation_cases_all, ranked_lexicon, classified)}

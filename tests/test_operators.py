@@ -512,3 +512,18 @@ def test_containment_both_ways_joins_equal_values(spark):
     for df in (got, entity.detect_crimes(asked, edges)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_one_wrong_field_leaves_the_others(spark):
+    payloads = [
+        '{"is_criminal_law": true, "confidence": "0.8", "identified_crimes": [{"crime_name": "盗窃", "relevance": 1}, {"relevance": 2}, 5, null], "bm25_keywords": ["车", {"keyword": "夜", "weight": 0.4}, {"weight": 1}]}',
+        '{"is_criminal_law": {"x": 1}, "confidence": 0.3, "identified_crimes": "盗窃", "hyde_answer": [1], "query2doc_generated": null}',
+        '{"confidence": 1', "", None, "[1]", "{}",
+    ]
+    rows = spark.createDataFrame(list(enumerate(payloads)), "id long, p string").select("id", entity.read_classification(F.col("p")).alias("a"))
+    got = {r.id: r.a for r in rows.collect()}
+    assert (got[0].is_criminal_law, got[0].confidence, got[0].errors) == (True, 0.8, [])
+    assert [tuple(c) for c in got[0].identified_crimes] == [("盗窃", 1.0)] and [tuple(k) for k in got[0].bm25_keywords] == [("车", 1.0), ("夜", 0.4)]
+    assert (got[1].is_criminal_law, got[1].confidence, got[1].query2doc_generated) == (False, 0.3, "")
+    assert set(got[1].errors) >= {"is_criminal_law", "identified_crimes"} and got[1].identified_crimes == []
+    assert all(got[i].errors == ["payload"] and got[i].confidence == 0.5 for i in (2, 3, 4, 5)) and got[6].errors == []
