@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import encode
+from ..functions.encode import SYMBOLS
 from ..operators import content, fusion, keyword, quality, ranking, vector, vector_index
 from ..session import own_folder
 from .common import SIMS_SQL, V_SQL, bm_run, bm_top, documents, final, item_vectors, items, keyword_run, rank_sql, sem_top, semantic_run, table, vector_queries, vectors
@@ -28,6 +31,21 @@ def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return final(found, "qid", "doc_id", "doc_type", "score", "rank")
 
 
+def projection() -> np.ndarray:
+    """A small matrix by rule: what a letter counts for in each of eight places."""
+    return np.array([[float((7 * i + 3 * j) % 5 - 2) for j in range(8)] for i in range(len(SYMBOLS))])
+
+
+def encoded_search(spark: SparkSession, d: str) -> DataFrame:
+    """The documents nearest to the benchmark's items, both as the stand-in model's vectors, projected."""
+    folder = own_folder(spark, "projection")
+    encode.save_projection(spark, projection(), folder)
+    matrix = encode.load_projection(spark, folder)
+    corpus = encode.encoded(documents(spark, d).select("doc_id", F.lit("A").alias("doc_type"), "text"), F.col("text"), encode.letter_model(), projection=matrix)
+    asked = encode.encoded(items(spark, d), F.col("text"), encode.letter_model(), projection=matrix, unit=True)
+    return final(vector.search(corpus, asked, K), "qid", "doc_id", "score", "rank")
+
+
 def vector_topk_by_type(spark: SparkSession, d: str) -> DataFrame:
     first, second = ranking.split_counts(K)
     run = searched(spark, d, max(first, second), by_type=True)
@@ -223,7 +241,18 @@ factors AS (SELECT *, CASE WHEN n <= 3 THEN 2.5 WHEN n <= 10 THEN 1.8 WHEN n <=
 boosted AS (SELECT *, CASE WHEN n <= 10 OR (total >= t AND n <= 50) OR original
   THEN least(total * CASE WHEN total < 0.1 THEN f * 1.5 WHEN total < 0.3 THEN f ELSE least(f, 1.2) END, top * 1.5) ELSE total END AS boosted FROM factors)"""
 
+LETTERS = "[" + ", ".join(f"length(l) - length(replace(l, '{c}', ''))" for c in SYMBOLS) + "]::DOUBLE[]"
+PROJECTED = "[" + ", ".join(" + ".join(f"({(7 * i + 3 * j) % 5 - 2}) * e[{i + 1}]" for i in range(len(SYMBOLS))) for j in range(8)) + "]::DOUBLE[]"
+
+
+def encoded_sql(table: str, key: str) -> str:
+    return f"(SELECT id, p, sqrt(list_inner_product(p, p)) AS n FROM (SELECT id, {PROJECTED} AS p FROM (SELECT id, {LETTERS} AS e FROM (SELECT {key} AS id, lower(coalesce(text, '')) AS l FROM {table}))))"
+
+
 SQL = {
+    "encoded_search": f"""WITH q AS {encoded_sql("benchmark", "item_id")}, d AS {encoded_sql("documents", "doc_id")},
+s AS (SELECT q.id AS qid, d.id AS doc_id, CASE WHEN q.n * d.n = 0 THEN 0 ELSE list_inner_product(q.p, d.p) / (q.n * d.n) END AS score FROM q CROSS JOIN d)
+SELECT qid, doc_id, round(score, 6) AS score, {rank_sql()} AS rank FROM s QUALIFY rank <= {K}""",
     "vector_topk": f"{TOP} SELECT qid, doc_id, doc_type, round(score, 6) AS score, rank FROM t",
     "vector_index_topk": f"{TOP} SELECT qid, doc_id, doc_type, round(score, 6) AS score, rank FROM t",
     "vector_topk_by_type": f"{BOTH} SELECT qid, doc_type, doc_id, round(score, 6) AS score, own AS rank FROM b WHERE own <= 5",
@@ -271,7 +300,7 @@ SELECT qid, doc_id, doc_type, round(score, 6) AS score, {rank_sql()} AS rank FRO
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_index_topk, vector_topk_by_type, vector_threshold, vector_paged, vector_by_id, vector_align_norm, vector_calibrate, vector_allpairs_stats,
+        vector_topk, vector_index_topk, encoded_search, vector_topk_by_type, vector_threshold, vector_paged, vector_by_id, vector_align_norm, vector_calibrate, vector_allpairs_stats,
         bm25_index_stats, bm25_topk, bm25_index_topk, bm25_query_boosted, rrf_fusion, hybrid_search, weighted_fusion, fusion_final, enhanced_rrf, path_confidence,
         final_confidence, adaptive_boost, diversity_rank, merge_simple, merge_interleaved, merge_balanced, type_then_similarity, position_decay,
         ranking_stats, result_metadata, type_counts, dq_vector_norms, kmeans_clusters, consistency_search,
