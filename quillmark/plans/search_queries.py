@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import encode
 from ..functions.encode import SYMBOLS
-from ..operators import content, fusion, keyword, quality, ranking, vector, vector_index
+from ..operators import content, entity, fusion, keyword, quality, ranking, stages, vector, vector_index
 from ..session import own_folder
-from .common import SIMS_SQL, V_SQL, bm_run, bm_top, documents, final, item_vectors, items, keyword_run, rank_sql, sem_top, semantic_run, table, vector_queries, vectors
+from .common import SIMS_SQL, TOKENS, V_SQL, bm_run, bm_top, documents, final, item_vectors, items, keyword_run, rank_sql, sem_top, semantic_run, table, vector_queries, vectors
 
 K, WIDE = 10, 20
 
@@ -123,14 +123,18 @@ def fusion_final(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_runs(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    """Three paths with similarities in [0, 1] and texts: plain vectors, halved boosted keywords, and keywords."""
-    texts = documents(spark, d).select("doc_id", "text")
+    """Three paths with similarities in [0, 1] and texts: vectors, the enhanced query's keywords, and the query with its first
+    keywords again.  Both keyword paths are one search.
+    """
+    texts, asked = documents(spark, d).select("doc_id", "text"), items(spark, d)
     sem = semantic_run(spark, d, k).where("score > 0").select("qid", "doc_id", F.lit("basic_semantic").alias("path"), "score")
-    words = keyword_run(spark, d, k)
+    made = entity.clean_generated(entity.query2doc(F.coalesce("text", F.lit("")), F.array().cast("array<struct<crime_name:string,article_number:int>>")))
+    ways = {"query2doc": entity.enhanced_query(F.col("text"), made, stages.BETWEEN), "bm25_hybrid": keyword.boosted("text", keyword.latin_tokens("text"))}
+    each = asked.select("qid", F.explode(F.create_map(*[x for name, text in ways.items() for x in (F.lit(name), text)])).alias("path", "text"))
+    words = keyword.search(texts, each.select(F.struct("qid", "path").alias("qid"), "text"), k)
     most = F.max("score").over(Window.partitionBy("qid"))
-    bm = words.select("qid", "doc_id", F.lit("bm25_hybrid").alias("path"), (F.col("score") / most).alias("score"))
-    graph = words.where("rank % 2 = 1").select("qid", "doc_id", F.lit("knowledge_graph").alias("path"), (F.col("score") / most).alias("score"))
-    return sem.unionByName(bm).unionByName(graph).join(texts, "doc_id", "left")
+    bm = words.select("qid.qid", "doc_id", "qid.path", (F.col("score") / most).alias("score"))
+    return sem.unionByName(bm).join(texts, "doc_id", "left")
 
 
 def enhanced_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -221,13 +225,17 @@ RUNS = f"WITH {sem_top(WIDE)}, {bm_top(WIDE)}, runs AS (SELECT qid, doc_id, 'sem
 WEIGHTED = f"""{RUNS}, w AS (SELECT *, CASE path WHEN 'semantic' THEN 0.4::DOUBLE ELSE 0.35::DOUBLE END AS w FROM runs),
 fused AS (SELECT qid, doc_id, sum(w / (60 + rank) + 0.3 * w * score) AS fused, count(*) AS paths,
   CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE greatest(0, 1 - stddev_pop(rank) / 20) END AS consistency FROM w GROUP BY ALL)"""
-PATHS = f"""WITH {sem_top(K)}, {bm_top(K)}, norm AS (SELECT *, score / max(score) OVER (PARTITION BY qid) AS s FROM bm),
+WAYS_SQL = f"""SELECT qid, unnest({TOKENS}) AS term FROM (
+  SELECT {{'qid': item_id, 'path': 'query2doc'}} AS qid, text || ' [SEP] ' || CASE WHEN length(g) > 200 THEN substring(g, 1, 200) || '...' ELSE g END AS text
+    FROM (SELECT *, '关于''' || text || '''的法律条文和相关案例分析。' AS g FROM benchmark)
+  UNION ALL SELECT {{'qid': item_id, 'path': 'bm25_hybrid'}}, text || ' ' || array_to_string(({TOKENS})[1:5], ' ') FROM benchmark)"""
+PATHS = f"""WITH {sem_top(K)}, {bm_run(WAYS_SQL)}, bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bmall QUALIFY rank <= {K}),
+norm AS (SELECT *, score / max(score) OVER (PARTITION BY qid) AS s FROM bm),
 paths AS (SELECT p.*, text FROM (
-  SELECT qid, doc_id, 'basic_semantic' AS path, score FROM sem WHERE score > 0
-  UNION ALL SELECT qid, doc_id, 'bm25_hybrid', s FROM norm UNION ALL SELECT qid, doc_id, 'knowledge_graph', s FROM norm WHERE rank % 2 = 1) p LEFT JOIN documents USING (doc_id)),
+  SELECT qid, doc_id, 'basic_semantic' AS path, score FROM sem WHERE score > 0 UNION ALL SELECT qid.qid, doc_id, qid.path, s FROM norm) p LEFT JOIN documents USING (doc_id)),
 inside AS (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY round(score, 9) DESC, doc_id) AS place,
-  lower(substring(coalesce(text, ''), 1, 100)) AS snippet, CASE path WHEN 'knowledge_graph' THEN 0 WHEN 'bm25_hybrid' THEN 3 ELSE 4 END AS turn,
-  CASE path WHEN 'knowledge_graph' THEN 2.5::DOUBLE WHEN 'bm25_hybrid' THEN 2.0 ELSE 1.8 END AS w FROM paths),
+  lower(substring(coalesce(text, ''), 1, 100)) AS snippet, CASE path WHEN 'query2doc' THEN 1 WHEN 'bm25_hybrid' THEN 3 ELSE 4 END AS turn,
+  CASE path WHEN 'query2doc' THEN 2.2::DOUBLE WHEN 'bm25_hybrid' THEN 2.0 ELSE 1.8 END AS w FROM paths),
 seen AS (SELECT *, row_number() OVER (PARTITION BY qid, snippet ORDER BY turn, place, doc_id) > 1 AS again FROM inside),
 scored AS (SELECT qid, doc_id, sum(w / (20 + place) * (1 + 1.5 * score) * CASE WHEN again THEN 0.85 ELSE 1 END) * CASE WHEN count(*) > 1 THEN 1 + 0.3 * (count(*) - 1) ELSE 1 END AS score,
   count(*) AS paths, list_sort(list(DISTINCT path)) AS sources FROM seen GROUP BY ALL),
