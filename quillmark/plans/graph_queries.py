@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content, entity, fusion, graph, keyword, quality, ranking
+from ..session import own_folder
 from ..sources import tables
 from .common import TOKENS, documents, final, table, vectors
 
@@ -104,9 +105,16 @@ def part_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("text"))
 
 
-def entities(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table that a query uses several times, written once."""
+    path = own_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def entities(spark: SparkSession, d: str, asked: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """(qid, crime, article): the graph's crimes that a text contains, and its numbers that are articles of the graph."""
-    own = edges(spark, d)
+    own = stored(edges(spark, d), "edges") if own is None else own
     crimes = entity.contained(asked, own.select("crime").distinct(), word="crime").select("qid", "crime", F.lit(None).cast("long").alias("article"))
     numbers = asked.select("qid", F.explode(F.array_distinct(F.filter(F.split("text", " "), lambda w: w.rlike("^[0-9]{1,9}$")))).alias("n"))
     articles = numbers.select("qid", F.lit(None).cast("string").alias("crime"), F.col("n").cast("long").alias("article")).join(own.select("article").distinct(), "article", "left_semi")
@@ -115,13 +123,13 @@ def entities(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
 
 def related(spark: SparkSession, d: str, asked: DataFrame, k: int = 3) -> DataFrame:
     """(qid, kind, word, confidence) of what the entities of texts lead to."""
-    own = edges(spark, d)
-    return graph.related_of(entities(spark, d, asked), graph.related_articles(group_edges(spark, d), k), graph.related_crimes(own, k), k)
+    own = stored(edges(spark, d), "edges")
+    return graph.related_of(stored(entities(spark, d, asked, own), "entities"), graph.related_articles(group_edges(spark, d), k), graph.related_crimes(own, k), k)
 
 
 def query_expand(spark: SparkSession, d: str) -> DataFrame:
-    own = edges(spark, d)
-    found = entities(spark, d, part_texts(spark, d))
+    own = stored(edges(spark, d), "edges")
+    found = stored(entities(spark, d, part_texts(spark, d), own), "entities")
     many = found.groupBy("qid").agg(F.count("*").alias("entities"))
     out = graph.expand(found, graph.related_articles(group_edges(spark, d), 3), graph.related_crimes(own, 3)).join(many, "qid")
     return final(out.withColumn("quality", graph.expansion_quality(F.col("entities"), F.col("relations"), F.col("mean_confidence"))))
