@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import compared
+from .ranking import similarity_level, compared
 
 # Labels of previews, and what stands for a missing content.
 ARTICLE_LABELS = ("第", "条", "章节: ", "长度: ", "字", "法律条文")
@@ -204,3 +204,63 @@ def confidence_band(value: Column) -> Column:
 def ordered_suggestions(rows: DataFrame) -> DataFrame:
     """Suggestions (type, priority, text): those of crimes first, then by priority, the smallest number first."""
     return rows.orderBy(F.when(F.col("type") == "crime", 0).otherwise(1), "priority", "text")
+
+
+#: Fields of a kind of documents, the name of the law, the source and the search that results bear without another.
+CASE_FIELDS = {"case_id": "string", "criminals": "array<string>", "accusations": "array<string>", "relevant_articles": "array<int>", "punish_of_money": "double", "death_penalty": "boolean", "life_imprisonment": "boolean", "imprisonment_months": "int"}
+ARTICLE_FIELDS = {"article_number": "int", "chapter": "string", "law_name": "string"}
+LAW, SOURCE, METHOD = "刑法", "数据集", "hybrid"
+
+
+def field(rows: DataFrame, name: str, kind: str) -> Column:
+    """A column if the rows have it, else null."""
+    return F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def display_title(rows: DataFrame) -> Column:
+    """An article's number and title, a case's first defendant and charge; else the title, else the id."""
+    number, title = field(rows, "article_number", "int"), F.coalesce(field(rows, "title", "string"), F.lit(""))
+    who, what = F.get(field(rows, "criminals", "array<string>"), 0), F.get(field(rows, "accusations", "array<string>"), 0)
+    article = F.when(F.coalesce(number, F.lit(0)) != 0, F.concat(F.lit("第"), number.cast("string"), F.lit("条 "), title)).when(title != "", title).otherwise(F.concat(F.lit("法条 "), "id"))
+    case = F.when(who.isNotNull() & what.isNotNull(), F.concat(who, what, F.lit("案"))).when(title != "", title).otherwise(F.concat(F.lit("案例 "), F.coalesce(field(rows, "case_id", "string"), "id")))
+    return F.when(F.col("type") == "article", article).otherwise(case)
+
+
+def document_text(rows: DataFrame) -> Column:
+    """What a document is searched by: title and content, then chapter and law of an article, names and charges of a case."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    joined = lambda name: some(F.array_join(field(rows, name, "array<string>"), " "))
+    first = [some(field(rows, c, "string")) for c in ("title", "content")]
+    return F.when(F.col("type") == "article", F.concat_ws(" ", *first, some(field(rows, "chapter", "string")), some(field(rows, "law_name", "string")))).otherwise(F.concat_ws(" ", *first, joined("criminals"), joined("accusations")))
+
+
+def own_fields(rows: DataFrame) -> list[Column]:
+    """The fields of each kind, null in rows of the other."""
+    of = lambda fields, kind: [F.when(F.col("type") == kind, field(rows, c, t)).alias(c) for c, t in fields.items()]
+    return of(CASE_FIELDS, "case") + of(ARTICLE_FIELDS, "article")
+
+
+def document_projection(rows: DataFrame, *more: Column) -> DataFrame:
+    """Documents (id, type, title, content and fields of their kind) as they are answered by id."""
+    return rows.select("id", display_title(rows).alias("title"), field(rows, "content", "string").alias("content"), "type", document_text(rows).alias("searchable_text"), *own_fields(rows), *more)
+
+
+def result_projection(rows: DataFrame) -> DataFrame:
+    """Documents with a similarity and a rank as results: with a level, and whether a case's punishment is severe."""
+    severe = severe_punishment(*(field(rows, c, CASE_FIELDS[c]) for c in ("death_penalty", "life_imprisonment", "imprisonment_months")))
+    extra = [F.col("similarity"), similarity_level("similarity").alias("confidence_level"), F.col("rank"), F.when(F.col("type") == "case", severe).alias("is_severe_case")]
+    return document_projection(rows, *extra).drop("searchable_text")
+
+
+def raw_projection(rows: DataFrame) -> DataFrame:
+    """Rows of any search (id and what else they have) as results: kind and title by the id's form, defaults for the rest."""
+    kind = F.when(F.col("id").contains("case_"), "case").when(F.col("id").contains("article_"), "article")
+    of = lambda name, want, t, default: F.when(kind == want, F.coalesce(field(rows, name, t), default)).alias(name)
+    none = F.array()
+    return rows.select(
+        "id", article_title(F.coalesce(field(rows, "title", "string"), "id")).alias("title"), F.coalesce(field(rows, "content", "string"), F.lit("")).alias("content"),
+        F.coalesce(field(rows, "similarity", "double"), field(rows, "fusion_score", "double"), F.lit(0.0)).alias("similarity"), document_type(F.col("id")).alias("type"),
+        F.coalesce(field(rows, "search_method", "string"), F.lit(METHOD)).alias("search_method"), F.lit(SOURCE).alias("source"),
+        of("case_id", "case", "string", F.col("id")), of("accusations", "case", "array<string>", none.cast("array<string>")), of("relevant_articles", "case", "array<int>", none.cast("array<int>")), of("imprisonment_months", "case", "int", F.lit(0)),
+        of("article_number", "article", "string", F.lit("")), of("chapter", "article", "string", F.lit("")), of("law_name", "article", "string", F.lit(LAW)),
+    )

@@ -213,6 +213,34 @@ def explain(entities: DataFrame, articles: DataFrame) -> DataFrame:
     return near.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), line.alias("line")))), lambda x: x["line"]).alias("steps"))
 
 
+#: The steps of an explanation, how a search goes on from them, and what it is meant to bring.
+STEPS = ("检测到罪名'%s'，将扩展搜索相关法条: %s", "检测到法条'%s'，将扩展搜索相关罪名: %s", "查询中未检测到明确的法律实体，将使用标准搜索")
+STRATEGIES = ("crime_to_article_expansion", "article_to_crime_expansion", "standard_search")
+ENHANCEMENTS = ["提高搜索结果的完整性", "发现隐藏的相关内容", "提供更全面的法律参考"]
+
+
+def reasoning(asked: DataFrame, entities: DataFrame, articles: DataFrame, crimes: DataFrame) -> DataFrame:
+    """(qid, steps, strategies, enhancements) of every query (qid): a step for each crime and then each article found in it that leads
+    anywhere, with where it leads; the plain search without any.
+    """
+    led = lambda related, key, shown: related.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("x")))), lambda s: s["x"]), ", ").alias("leads"))
+    by_crime = led(articles, "crime", F.concat(F.lit("第"), F.col("article").cast("string"), F.lit("条")))
+    by_article = led(crimes, "article", F.concat("crime", F.lit(SUFFIX)))
+    step = lambda part, key, at: [F.col("qid"), F.struct(F.lit(part).alias("part"), at.alias("at"), F.format_string(STEPS[part], F.col(key).cast("string"), "leads").alias("step"))]
+    first = entities.where("crime IS NOT NULL").select("qid", "crime").distinct().join(by_crime, "crime").select(*step(0, "crime", F.col("crime")))
+    second = entities.where("article IS NOT NULL").select("qid", "article").distinct().join(by_article, "article").select(*step(1, "article", F.lpad(F.col("article").cast("string"), 12, "0")))
+    every = first.toDF("qid", "s").unionByName(second.toDF("qid", "s")).groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    own = asked.select("qid").join(every, "qid", "left")
+    some = F.col("s").isNotNull()
+    strategies = F.transform("s", lambda x: F.element_at(F.array(*map(F.lit, STRATEGIES)), x["part"] + 1))
+    return own.select(
+        "qid",
+        F.when(some, F.transform("s", lambda x: x["step"])).otherwise(F.array(F.lit(STEPS[2]))).alias("steps"),
+        F.when(some, strategies).otherwise(F.array(F.lit(STRATEGIES[2]))).alias("strategies"),
+        F.when(some, F.array(*map(F.lit, ENHANCEMENTS))).otherwise(F.array().cast("array<string>")).alias("enhancements"),
+    )
+
+
 def fingerprint(edges: DataFrame) -> DataFrame:
     """One number that changes with the graph's totals, stable across runs."""
     return totals(edges).select(F.xxhash64("crimes", "articles", "occurrences").alias("fingerprint"))

@@ -527,3 +527,25 @@ def test_one_wrong_field_leaves_the_others(spark):
     assert (got[1].is_criminal_law, got[1].confidence, got[1].query2doc_generated) == (False, 0.3, "")
     assert set(got[1].errors) >= {"is_criminal_law", "identified_crimes"} and got[1].identified_crimes == []
     assert all(got[i].errors == ["payload"] and got[i].confidence == 0.5 for i in (2, 3, 4, 5)) and got[6].errors == []
+
+
+def test_projections_have_the_fields_of_their_kind(spark):
+    rows = spark.createDataFrame([("article_264", "article", "盗窃", "文", 264, None, None, None, 0.95, 1), ("article_x", "article", None, None, None, None, None, None, 0.1, 2), ("case_1", "case", None, "事实", None, ["张某"], ["盗窃"], 130, 0.7, 3), ("case_2", "case", None, None, None, None, ["盗窃"], None, None, 4)], "id string, type string, title string, content string, article_number int, criminals array<string>, accusations array<string>, imprisonment_months int, similarity double, rank int")
+    got = {r.id: r for r in content.result_projection(rows).collect()}
+    assert [got[i].title for i in ("article_264", "article_x", "case_1", "case_2")] == ["第264条 盗窃", "法条 article_x", "张某盗窃案", "案例 case_2"]
+    assert (got["case_1"].is_severe_case, got["case_2"].is_severe_case, got["article_264"].is_severe_case) == (True, False, None)
+    assert got["article_264"].confidence_level == "very_high" and got["article_264"].accusations is None and got["case_1"].article_number is None
+    texts = {r.id: r.searchable_text for r in content.document_projection(rows).collect()}
+    assert texts == {"article_264": "盗窃 文", "article_x": "", "case_1": "事实 张某 盗窃", "case_2": "盗窃"}
+    raw = {r.id: r for r in content.raw_projection(spark.createDataFrame([("article_12", 0.5), ("case_3", None), ("other", 0.2)], "id string, fusion_score double")).collect()}
+    assert (raw["article_12"].title, raw["article_12"].law_name, raw["article_12"].similarity, raw["article_12"].case_id) == ("第12条", "刑法", 0.5, None)
+    assert (raw["case_3"].case_id, raw["case_3"].accusations, raw["case_3"].similarity, raw["other"].type, raw["other"].title) == ("case_3", [], 0.0, "unknown", "other")
+
+
+def test_reasoning_names_what_a_search_goes_by(spark):
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    found = spark.createDataFrame([(1, "盗窃", None), (1, None, 266), (2, "无关", None)], "qid long, crime string, article long")
+    edges = spark.createDataFrame([("盗窃", 264, 9), ("盗窃", 269, 4), ("诈骗", 266, 5)], "crime string, article long, case_count long")
+    got = {r.qid: r for r in graph.reasoning(asked, found, graph.related_articles(edges, 3), graph.related_crimes(edges, 3)).collect()}
+    assert got[1].steps == ["检测到罪名'盗窃'，将扩展搜索相关法条: 第264条, 第269条", "检测到法条'266'，将扩展搜索相关罪名: 诈骗罪"] and got[1].strategies == list(graph.STRATEGIES[:2]) and len(got[1].enhancements) == 3
+    assert got[2].strategies == got[3].strategies == ["standard_search"] and got[3].enhancements == []
