@@ -5,13 +5,15 @@ skippable one with the dictionary (plain, or a Zstandard frame itself); every fu
 exactly one record, whose version line, headers, block length, digests, HTTP head and closing line ends are checked.
 
 Of records with equal payloads of some size the one with the largest id is a response; the others become revisits, which
-keep the HTTP head with the payload's length but not the payload.  Rows that repeat the largest id are all responses, as
+keep the HTTP head with the payload's length but not the payload, and name the response by its record id and URL.  The reader
+takes archives of other writers too: other kinds of records, heads without a length, and digests in base32.  Rows that repeat the largest id are all responses, as
 are all rows of a group without any id.  A null payload is an empty one; a null url or id leaves its header out.  Further
 columns are ignored; an empty table gives no archive and no record.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import uuid
@@ -34,6 +36,11 @@ SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 200, 1_000_000, 16_384,
 REVISIT_BYTES = 1_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Other profiles of revisits, and kinds of records that the reader passes over unless they are asked for.
+PROFILES = ("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "http://netpreserve.org/warc/1.1/revisit/server-not-modified", "http://netpreserve.org/warc/1.0/revisit/server-not-modified")
+OTHERS = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
+#: Slots that payloads are folded to: the largest number of rows (8 bytes each) that is broadcast.
+SLOTS = 1 << 20
 READ_SCHEMA = "archive string, record long, record_id string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -62,7 +69,9 @@ def record_bytes(row: dict) -> bytes:
     if row["page_id"] is not None:
         fields.append(("X-Page-ID", row["page_id"]))
     if not response:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", row["refers_to"])]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(row["refers_to"], row["refers_to_url"], row["payload_digest"])), ("X-Refers-To-Page-ID", row["refers_to"])]
+        if row["refers_to_url"] is not None:
+            fields.append(("WARC-Refers-To-Target-URI", row["refers_to_url"].replace("\r", "%0D").replace("\n", "%0A")))
     fields += [
         ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"),
         ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"),
@@ -97,18 +106,25 @@ def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html",
     """Each page as a record to write; pages with the payload of another become revisits.
 
     Groups are counted with partial sums and only groups of two or more are joined back, so a payload that very many pages
-    share is one row on one side of a join that Spark can split on the other.
+    share is one row on one side of a join that Spark can split on the other.  A bounded table of slots keeps the payloads of
+    pages that share theirs with nobody out of that join.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"), body.alias("payload"))
-    narrow = rows.where(F.col("payload_bytes") >= least).groupBy("payload_bytes", "payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = materialize(narrow.where("n > 1").drop("n"), "payloads")
-    joined = rows.join(shared, ["payload_bytes", "payload_digest"], "left")
+    narrow = rows.where(F.col("payload_bytes") >= least).groupBy("payload_bytes", "payload_digest").agg(F.max_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n"))
+    shared = materialize(narrow.where("n > 1 AND first IS NOT NULL").select("payload_bytes", "payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "payloads")
+    slot = F.pmod(F.xxhash64("payload_bytes", "payload_digest"), F.lit(SLOTS)).alias("slot")
+    taken = materialize(shared.select(slot).distinct(), "slots")
+    marked = rows.withColumn("slot", slot)
+    lone = marked.join(F.broadcast(taken), "slot", "left_anti").drop("slot").withColumns({"first_id": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
+    some = marked.join(F.broadcast(taken), "slot", "left_semi").drop("slot").join(shared, ["payload_bytes", "payload_digest"], "left")
+    joined = lone.unionByName(some)
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
     return joined.select(
         "page_id", "url", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, F.col("first_url")).alias("refers_to_url"),
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
@@ -232,41 +248,64 @@ def parse_record(data: bytes) -> dict:
     digest = fields.get("warc-block-digest")
     if digest and digest != f"sha1:{hashlib.sha1(block).hexdigest()}":
         raise InvalidArchive("the block's digest differs")
+    if kind in OTHERS:
+        return {"record_id": fields["warc-record-id"], "record_type": kind, "page_id": None, "url": fields.get("warc-target-uri"), "payload_bytes": len(block), "payload_digest": hashlib.sha1(block).hexdigest(), "refers_to": None, "payload": block}
     if kind not in ("response", "revisit"):
         raise InvalidArchive(f"unexpected record type {kind[:40]!r}")
     http, gap, payload = block.partition(b"\r\n\r\n")
+    if not gap:
+        raise InvalidArchive("the HTTP head has no end")
     inner = headers_of(http, "HTTP/")
-    length = inner.get("content-length", "")
-    if not gap or not length.isdigit():
-        raise InvalidArchive("the HTTP head has no length or no end")
+    length = inner.get("content-length", str(len(payload)) if kind == "response" else "0")  # a response may go without
+    if not length.isdigit():
+        raise InvalidArchive("the HTTP head's length is no number")
     named = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and (int(length) != len(payload) or hashlib.sha1(payload).hexdigest() != named):
+    own = hashlib.sha1(payload)
+    if kind == "response" and (int(length) != len(payload) or named not in ("", own.hexdigest(), base64.b32encode(own.digest()).decode())):
         raise InvalidArchive("the payload's length or digest differs")
-    if kind == "revisit" and (payload or "x-refers-to-page-id" not in fields or fields.get("warc-profile") != PROFILE):
+    if kind == "response":
+        named = own.hexdigest()
+    if kind == "revisit" and (payload or not {"x-refers-to-page-id", "warc-refers-to", "warc-refers-to-target-uri"} & set(fields) or fields.get("warc-profile") not in (PROFILE, *PROFILES)):
         raise InvalidArchive("a revisit with a payload, without a target or with another profile")
     number = lambda name: int(fields[name]) if name in fields else None
     return {"record_id": fields["warc-record-id"], "record_type": kind, "page_id": number("x-page-id"), "url": fields.get("warc-target-uri"), "payload_bytes": int(length), "payload_digest": named, "refers_to": number("x-refers-to-page-id"), "payload": payload if kind == "response" else None}
 
 
-def read_archive(content: bytes) -> Iterator[dict]:
-    """The records of one archive, one frame at a time."""
+def read_archive(content: bytes, others: bool = False, errors: bool = False) -> Iterator[dict]:
+    """The records of one archive, one frame at a time; records that are neither responses nor revisits only if asked for.
+
+    A record that can't be read is an error, or, if asked for, a dict with only `error`; what a frame that has no end hides stays unread.
+    """
     data = memoryview(content)
     words, at = load_dictionary(data)
     decoder = zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()
     while at < len(data):
-        end = frame_end(data, at)
         try:
-            record = decoder.decompress(data[at:end], allow_extra_data=False)
-        except zstandard.ZstdError as e:
-            raise InvalidArchive(f"the frame at byte {at} can't be decoded: {e}") from e
-        yield parse_record(record)
+            end = frame_end(data, at)
+        except InvalidArchive as problem:
+            if not errors:
+                raise
+            yield {"error": str(problem)}
+            return
+        try:
+            record = parse_record(decoder.decompress(data[at:end], allow_extra_data=False))
+            if others or record["record_type"] not in OTHERS:
+                yield record
+        except (InvalidArchive, UnicodeDecodeError, zstandard.ZstdError) as problem:
+            if not errors:
+                raise InvalidArchive(f"the frame at byte {at} can't be read: {problem}") from problem
+            yield {"error": f"the frame at byte {at} can't be read: {problem}"}
         at = end
 
 
-def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """All records of archives, a row each; `archives` has (archive, content), or (path, content) of a binaryFile scan."""
+def read_archives(archives: DataFrame, payload: bool = True, others: bool = False, errors: bool = False) -> DataFrame:
+    """All responses and revisits of archives, a row each; `archives` has (archive, content), or (path, content) of a binaryFile scan.
+
+    With `others`, records of the other kinds are rows too, their block as the payload.  With `errors`, a record that can't be read is a
+    row that says why in the last column, instead of failing the job.
+    """
     name = "archive" if "archive" in archives.columns else "path"
-    schema = READ_SCHEMA if payload else READ_SCHEMA.removesuffix(", payload binary")
+    schema = (READ_SCHEMA if payload else READ_SCHEMA.removesuffix(", payload binary")) + (", error string" if errors else "")
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +314,9 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held, size = [], 0
-                for n, row in enumerate(read_archive(content.as_buffer())):
-                    held.append({c: (row | {"archive": archive, "record": n})[c] for c in columns})
-                    size += len(row["payload"] or b"") if payload else 0
+                for n, row in enumerate(read_archive(content.as_buffer(), others, errors)):
+                    held.append({c: (row | {"archive": archive, "record": n}).get(c) for c in columns})
+                    size += len(row.get("payload") or b"") if payload else 0
                     if size > ARCHIVE_BYTES or len(held) >= 2_000:
                         yield pa.RecordBatch.from_pylist(held, target)
                         held, size = [], 0

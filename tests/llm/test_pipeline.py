@@ -63,3 +63,59 @@ def test_run_keeps_every_piece(spark):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert packed.where("piece = 0").select("doc_id").distinct().count() > 150
+
+
+def plain_run(spark, docs):
+    """The pieces (doc_id, piece, start, length, ids_crc32) that the pipeline must come to, in plain Python but for the field."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillmark.llm import exact, pii
+
+    lower = str.maketrans(exact.UPPER, exact.LOWER)
+    rows = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    best = {}
+    for i, t in rows.items():
+        best[t.translate(lower)] = max(best.get(t.translate(lower), i), i)
+    rows = {i: t for i, t in rows.items() if best[t.translate(lower)] == i}
+    sets = {}
+    for i, t in rows.items():
+        words = [w for w in t.translate(lower).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    ids = sorted(rows)
+    label = {i: i for i in ids}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    kept = docs.where(F.col("doc_id").isin([i for i in ids if label[i] == i]))
+    field = pii.fit(kept)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    out = []
+    for r in kept.collect():
+        ((_, spans),) = pii.find(field, pa.array([r.text]))
+        clean, at = "", 0
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            clean, at = (clean + r.text[at:a] + f"<{kind}>" if a >= at else clean), max(at, b)
+        own = [*tokenizer.encode(clean + r.text[at:], add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(own), 4096)):
+            part = np.array(own[start : start + 4096], np.uint32)
+            out.append((r.doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+    return sorted(out)
+
+
+def test_run_comes_to_what_a_plain_run_comes_to(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    packed = corpus_pipeline.run(spark, FOLDER)
+    assert sorted(tuple(r) for r in packed.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == plain_run(spark, docs)
+    places = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("own")).collect()
+    for r in places:
+        ends = [p.offset + p.length for p in r.own]
+        assert r.n <= 4096 and [p.offset for p in r.own] == [0, *ends[:-1]]

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import pathlib
 
@@ -52,7 +53,7 @@ def test_damage_is_found(change):
     elif change == "digest":
         record = record.replace(b"body text", b"body tent", 1)
     elif change == "type":
-        record = record.replace(b"WARC-Type: response", b"WARC-Type: metadata", 1)
+        record = record.replace(b"WARC-Type: response", b"WARC-Type: unheard-of", 1)
     content = warc.archive_bytes([record])
     if change == "cut":
         content = content[:-3]
@@ -83,3 +84,49 @@ def test_tables(spark, tmp_path):
     warc.save_archives(archives, (tmp_path / "files").as_uri())
     files = spark.read.format("binaryFile").load(str(pathlib.Path(tmp_path, "files", "*.warc.zst")))
     assert warc.read_archives(files).where(F.col("page_id") == 7).count() == 1 and files.count() == archives.count()
+
+
+def frame(kind, block, *fields):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", "WARC-Date: 2024-01-01T00:00:00Z", *fields, f"Content-Length: {len(block)}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers():
+    """Other kinds of records are passed over or shown; heads without a length and digests in base32 are read."""
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    digest = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    same = "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+    content = warc.archive_bytes([frame("warcinfo", b"software: x"), frame("request", b"GET / HTTP/1.1\r\n\r\n"), frame("response", page, f"WARC-Payload-Digest: sha1:{digest}", "WARC-Target-URI: http://a"), frame("revisit", b"HTTP/1.1 200 OK\r\n\r\n", same, "WARC-Refers-To: <urn:x>")])
+    got = list(warc.read_archive(content))
+    assert [(r["record_type"], r["payload"], r["payload_bytes"]) for r in got] == [("response", b"hello", 5), ("revisit", None, 0)] and got[0]["payload_digest"] == hashlib.sha1(b"hello").hexdigest()
+    assert [r["record_type"] for r in warc.read_archive(content, others=True)] == ["warcinfo", "request", "response", "revisit"]
+    wrong = frame("response", page, f"WARC-Payload-Digest: sha1:{digest[:-1]}A")
+    with pytest.raises(warc.InvalidArchive):
+        list(warc.read_archive(warc.archive_bytes([wrong])))
+
+
+def test_bad_records_are_rows_if_asked_for(spark):
+    good = records(3)
+    broken = warc.archive_bytes([good[0], good[1].replace(b"body text", b"body tent", 1), good[2]])
+    cut = warc.archive_bytes(good)[:-7]
+    archives = spark.createDataFrame([("a", broken), ("b", cut), ("c", b"none")][:2], "archive string, content binary")
+    rows = warc.read_archives(archives, errors=True).collect()
+    assert {(r.archive, r.record, r.page_id, r.error is None) for r in rows} == {("a", 0, 0, True), ("a", 1, None, False), ("a", 2, 2, True), ("b", 0, 0, True), ("b", 1, 1, True), ("b", 2, None, False)}
+    with pytest.raises(Exception, match="digest differs"):
+        warc.read_archives(archives).collect()
+
+
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame([(1, "http://one", "p" * 2000), (2, "http://two", "p" * 2000)], "page_id long, url string, html string")
+    plan = warc.plan_records(pages)
+    (content,) = [r.content for r in warc.write_archives(plan.coalesce(1)).collect()]
+    ids = {r["page_id"]: r["record_id"] for r in warc.read_archive(content)}
+    words, at = warc.load_dictionary(memoryview(content))
+    raw = b""
+    while at < len(content):
+        end = warc.frame_end(memoryview(content), at)
+        raw += zstandard.ZstdDecompressor().decompress(content[at:end])
+        at = end
+    assert f"WARC-Refers-To: {ids[2]}\r\n".encode() in raw and b"WARC-Refers-To-Target-URI: http://two\r\n" in raw
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text
