@@ -62,6 +62,7 @@ def test_empty_tables(spark):
 def test_blocks_below_the_threshold_go_unscored(spark):
     """Documents about a query's rare words lie in few blocks: the others are bounded by their maxima and left out."""
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.expr("CASE WHEN id % 2 = 0 THEN 'common words ' ELSE 'further ones ' END"), F.expr("CASE WHEN id DIV 40 = 50 THEN concat('rare needle ', id) ELSE concat('other ', id % 97) END")).alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # other tests may have left less; blocks end with batches
     index = lexical.build(rows.coalesce(1), block_docs=40)
     asked = lexical.Asked.of(["common rare needle", "common words"])
     asked.weigh(lexical.frequencies(index, asked), index.docs)
