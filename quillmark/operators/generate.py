@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 #: Prompts of one call, and calls that are made again after a timeout.
 TOGETHER, RETRIES = 32, 2

@@ -10,7 +10,7 @@ from ..functions import encode
 from ..functions.encode import SYMBOLS
 from ..operators import content, entity, fusion, keyword, quality, ranking, stages, vector, vector_index
 from ..session import own_folder
-from .common import SIMS_SQL, TOKENS, V_SQL, bm_run, bm_top, documents, final, item_vectors, items, keyword_run, rank_sql, sem_top, semantic_run, table, vector_queries, vectors
+from .common import SIMS_SQL, TOKENS, V_SQL, bm_run, bm_top, documents, final, items, keyword_run, rank_sql, sem_top, semantic_run, table, vector_queries, vectors
 
 K, WIDE = 10, 20
 
