@@ -1,7 +1,8 @@
 """Lexicons of a corpus: words by tf-idf and by their rank in the graph of words that stand near each other.
 
-A document is a row (doc_id, words), its words in order.  The graph's edges are summed inside of Arrow batches before they are
-exchanged.  Ranks are found by power iteration, each a join of the edges with the ranks and one aggregate.
+A document is a row (doc_id, words), its words in order.  The graph's edges are summed inside of tasks, a bounded number at a time, before
+they are exchanged.  Ranks are found by power iteration, each a join of the edges with the ranks and one aggregate; edges and ranks are
+written, so that no step is computed twice.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import own_folder
+from ..session import bounded_batches, own_folder
 
 #: How far apart words of an edge stand at most, words that either way gives, their shares, the gain of a word that follows a
 #: pattern, bounds of length and weight, bands of weights, and patterns and words without meaning of the texts the lexicon is meant for.
 SPAN, DAMPING, ITERATIONS = 5, 0.85, 10
 TF_IDF_WORDS, RANKED_WORDS, TF_IDF_SHARE, RANK_SHARE, GAIN = 150, 100, 0.7, 0.3, 1.3
 SHORTEST, LONGEST, LEAST, HIGH, MIDDLE = 2, 8, 0.015, 0.03, 0.02
+#: Distinct edges that a task sums before it sends them on, and words that it looks at together.
+EDGES, WORDS = 1_000_000, 200_000
 PATTERN = "[法律条款罪权责诉讼判]|合同|协议|赔偿|损害|民事|刑事|行政|商事"
 WITHOUT_MEANING = ["这个", "一个", "可以", "应该", "需要", "进行", "相关", "有关", "其他", "以及", "或者", "但是", "因此", "所以"]
 
@@ -36,44 +39,81 @@ def tf_idf(docs: DataFrame, most: int = TF_IDF_WORDS) -> DataFrame:
 
 def neighbours(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(a, b, weight): how often two different words stand less than `span` apart, in both directions."""
+    return task_edges(docs, span).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def task_edges(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(a, b, weight): the edges of each task, summed over its batches."""
+    most, together = EDGES, WORDS
+
+    def pairs_of(words: pa.ListArray, numbers: dict[str, int]) -> np.ndarray:
+        """The pairs (a, b) of some documents, each a << 32 | b of the task's numbers of words."""
+        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        number = np.array([numbers.setdefault(w, len(numbers)) for w in coded.dictionary.to_pylist()], np.int64)
+        code, doc = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else np.zeros(0, np.int64), np.repeat(np.arange(len(length)), length)
+        found = [np.zeros(0, np.int64)]
+        for d in range(1, span):
+            a, b = code[:-d], code[d:]
+            good = (doc[:-d] == doc[d:]) & (a != b)
+            found += [a[good] << 32 | b[good], b[good] << 32 | a[good]]
+        return np.concatenate(found)
+
+    def sent(pair: np.ndarray, weight: np.ndarray, numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(numbers), pa.string())
+        for begin in range(0, len(pair), 100_000):
+            own = pair[begin : begin + 100_000]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own >> 32)), names.take(pa.array(own & 0xFFFFFFFF)), pa.array(weight[begin : begin + 100_000])], ["a", "b", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        pair, weight = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            length = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = batch.column("words").flatten().dictionary_encode()
-            code, doc, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(length)), length), max(len(coded.dictionary), 1)
-            pairs = [np.zeros(0, np.int64)]
-            for d in range(1, span):
-                a, b, same = code[:-d], code[d:], doc[:-d] == doc[d:]
-                good = same & (a != b)
-                pairs += [a[good] * n + b[good], b[good] * n + a[good]]
-            pair, weight = np.unique(np.concatenate(pairs), return_counts=True)
-            words = coded.dictionary.cast(pa.string())
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // n)), words.take(pa.array(pair % n)), pa.array(weight.astype(np.int64))], ["a", "b", "weight"])
-
-    return docs.select("words").mapInArrow(run, "a string, b string, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+            for part in few(batch, together):
+                new, times = np.unique(pairs_of(part.column("words"), numbers), return_counts=True)
+                every, place = np.unique(np.concatenate([pair, new]), return_inverse=True)
+                summed = np.zeros(len(every), np.int64)
+                summed[place[: len(pair)]] = weight
+                summed[place[len(pair) :]] += times
+                pair, weight = every, summed
+                if len(pair) > most or len(numbers) > most:
+                    yield from sent(pair, weight, numbers)
+                    numbers, pair, weight = {}, pair[:0], weight[:0]
+        yield from sent(pair, weight, numbers)
+
+    bounded_batches(docs.sparkSession)
+    return docs.select("words").mapInArrow(run, "a string, b string, weight long")
+
+
+def few(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch of about `most` words, one document at least."""
+    size, begin = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def ranks(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
     """(word, rank) of the words of a weighted graph (a, b, weight) that has both directions.
 
     Every word begins with 1; each step gives it 1 - damping and of each neighbour's rank the share of its edge.  With a tolerance, steps
-    are written and compared, and end when no rank moves by more.
+    are compared, and end when no rank moves by more.
     """
-    spark = edges.sparkSession
+    spark, folder = edges.sparkSession, own_folder(edges.sparkSession, "ranks")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    edges = kept(edges, "edges")
     whole = edges.groupBy("a").agg(F.sum("weight").alias("whole"))
-    links = edges.join(whole, "a").select(F.col("a").alias("word"), F.col("b").alias("to"), (F.col("weight") / F.col("whole")).alias("share"))
-    folder = None
-    if tolerance is not None:
-        folder = own_folder(spark, "ranks")
-        links.write.parquet(f"{folder}/links")
-        links = spark.read.parquet(f"{folder}/links")
-    now = links.select("word").distinct().withColumn("rank", F.lit(1.0))
+    links = kept(edges.join(whole, "a").select(F.col("a").alias("word"), F.col("b").alias("to"), (F.col("weight") / F.col("whole")).alias("share")), "links")
+    now = whole.select(F.col("a").alias("word"), F.lit(1.0).alias("rank"))
     for n in range(iterations):
         before, now = now, links.join(now, "word").groupBy(F.col("to").alias("word")).agg(F.sum(F.col("share") * F.col("rank")).alias("sum")).select("word", (1 - damping + damping * F.col("sum")).alias("rank"))
+        now = kept(now, str(n))
         if tolerance is not None:
-            now.write.parquet(f"{folder}/{n}")
-            now = spark.read.parquet(f"{folder}/{n}")
             moved = now.join(before.withColumnRenamed("rank", "before"), "word").agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
             if moved is None or moved <= tolerance:
                 break

@@ -90,3 +90,15 @@ def test_a_lexicon_of_chinese_texts(spark):
         gain = 1.3 if any(p in w for p in ["法", "律", "条", "款", "罪", "权", "责", "诉", "讼", "判", "合同", "协议", "赔偿", "损害", "刑事", "民事", "行政", "商事"]) else 1.0
         assert r.weight == pytest.approx(gain * (0.7 * first.get(w, 0) + 0.3 * second.get(w, 0)))
         assert r.category == ("high_weight" if r.weight > 0.03 else "legal_pattern" if r.weight > 0.02 else "medium_weight")
+
+
+def test_edges_are_summed_over_batches_of_a_task(spark, monkeypatch):
+    """Many small batches send no more rows than one large, and bounds on a task's edges change no sum."""
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(30)), lambda x: F.concat(F.lit("w"), (x * x + F.col("id") % 5) % 23)).alias("words"))
+    want = graph_of([r.words for r in docs.orderBy("doc_id").collect()])
+    monkeypatch.setattr(lexicon, "WORDS", 40)
+    assert {(r.a, r.b): r.weight for r in lexicon.neighbours(docs).collect()} == want
+    assert lexicon.task_edges(docs).count() == len(want)
+    monkeypatch.setattr(lexicon, "EDGES", 10)
+    assert lexicon.task_edges(docs).count() > len(want)
+    assert {(r.a, r.b): r.weight for r in lexicon.neighbours(docs).collect()} == want
