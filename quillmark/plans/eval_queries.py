@@ -13,18 +13,17 @@ from ..operators.ranking import top_k
 from ..session import own_folder
 from ..streaming import trace
 from .common import SIMS_SQL, final, rank_sql, table, vector_queries, vectors
-from .graph_queries import CASES, cases
+from .graph_queries import CASES, cases, stored
 
 WIDE = 20
 
 
-def judged_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(run, qrels) without the query itself."""
+def judged_run(spark: SparkSession, d: str) -> tuple[DataFrame, evaluate.Relevance]:
+    """(run, relevance) without the query itself."""
     asked = vector_queries(spark, d)
     run = vector.search(vectors(spark, d), asked.select("qid", "vector"), WIDE + 1).where("doc_id <> qid").drop("rank")
-    docs = vectors(spark, d).select("doc_id", F.col("label").alias("qlabel"))
-    qrels = asked.select("qid", "qlabel").join(docs, "qlabel").where("doc_id <> qid").select("qid", "doc_id", F.lit(1.0).alias("gain"))
-    return top_k(run, WIDE, "qid"), qrels
+    run = stored(top_k(run, WIDE, "qid"), "run")
+    return run, evaluate.by_label(run, asked.select("qid", F.col("qlabel").alias("label")), vectors(spark, d))
 
 
 def metric_at_k(spark: SparkSession, d: str) -> DataFrame:

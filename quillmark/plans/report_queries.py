@@ -11,7 +11,7 @@ from ..sources.tables import graph_report
 from ..streaming import trace
 from .common import COSINE, SIMS_SQL, V_SQL, documents, final, rank_sql, table, vector_queries, vectors
 from .eval_queries import OVERALL, by_type
-from .graph_queries import CASES, EDGES, cases, dq_status, edges
+from .graph_queries import CASES, EDGES, cases, dq_status, edges, stored
 from .graph_queries import SQL as GRAPH_SQL
 
 KEY_METRICS = ["precision@5", "recall@5", "hit@5", "ap", "rr"]
@@ -65,8 +65,8 @@ def eval_run(spark: SparkSession, d: str) -> DataFrame:
     def searched(docs: DataFrame, k: int):
         return lambda queries: top_k(vector.search(docs, queries.select("qid", "vector"), k + 1).where("doc_id <> qid").drop("rank"), k, "qid")
 
-    run = evaluate.dispatched(asked, {"article_to_case": searched(own.where("doc_type = 'A'"), 10), "consistency": searched(own, 20)})
-    qrels = asked.select("qid", "qlabel").join(own.select("doc_id", F.col("label").alias("qlabel")), "qlabel").where("doc_id <> qid").select("qid", "doc_id", F.lit(1.0).alias("gain"))
+    run = stored(evaluate.dispatched(asked, {"article_to_case": searched(own.where("doc_type = 'A'"), 10), "consistency": searched(own, 20)}), "run")
+    qrels = evaluate.by_label(run, asked.select("qid", F.col("qlabel").alias("label")), own)
     return final(evaluate.run_report(asked, run, qrels))
 
 
