@@ -549,3 +549,17 @@ def test_reasoning_names_what_a_search_goes_by(spark):
     got = {r.qid: r for r in graph.reasoning(asked, found, graph.related_articles(edges, 3), graph.related_crimes(edges, 3)).collect()}
     assert got[1].steps == ["检测到罪名'盗窃'，将扩展搜索相关法条: 第264条, 第269条", "检测到法条'266'，将扩展搜索相关罪名: 诈骗罪"] and got[1].strategies == list(graph.STRATEGIES[:2]) and len(got[1].enhancements) == 3
     assert got[2].strategies == got[3].strategies == ["standard_search"] and got[3].enhancements == []
+
+
+def test_cases_of_a_frequent_accusation_stay_apart(spark, monkeypatch):
+    """Few names make no exchange by name, however many cases have them; more names are joined; both find the same."""
+    cases = spark.range(0, 400, 1, 4).select(F.col("id").alias("case_id"), F.array(F.lit("theft"), F.concat(F.lit("x"), F.col("id") % 3)).alias("accusations"), F.array(F.col("id") % 5, F.lit(9)).cast("array<int>").alias("relevant_articles"))
+    pairs = spark.createDataFrame([("the", 9), ("the", 2), ("x1", 9), ("none", 9)], "crime string, article int")
+    near = spark.createDataFrame([("the", "theft"), ("the", "x1"), ("x1", "x1"), ("none", None)], "crime string, accusation string")
+    want = {("the", 9, n): n + 1 for n in range(4)} | {("the", 2, 5 * n + 2): n + 1 for n in range(4)} | {("x1", 9, 3 * n + 1): n + 1 for n in range(4)}
+    few = graph.cases_of_relations(cases, pairs, near, 4)
+    assert "accusation#" not in "".join(x for x in few._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x or "Join" in x)
+    assert {(r.crime, r.article, r.case_id): r.place for r in few.collect()} == want
+    assert graph.cases_of_relations(cases, pairs, near.limit(0), 4).count() == 0
+    monkeypatch.setattr(graph, "NEAR_ROWS", 0)
+    assert {(r.crime, r.article, r.case_id): r.place for r in graph.cases_of_relations(cases, pairs, near, 4).collect()} == want
