@@ -41,6 +41,9 @@ from .infill import buffers
 
 #: Documents and terms of a block, one document at least.
 BLOCK_DOCS, BLOCK_TERMS = 64, 100_000
+#: Bytes of a row group of blocks, and blocks after which the writer looks at them: Spark decodes up to 4,096 rows of a row group at once,
+#: each with thousands of postings, so that row groups of the usual size would fill an executor's heap.
+ROW_GROUP, LOOKED_AT = 2 << 20, 4
 #: Queries that are searched for at once.
 QUERIES_AT_ONCE = 1_000
 #: Blocks with the best bounds that are scored for the first threshold of a query; blocks scored together after that.
@@ -153,7 +156,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", block_docs:
     frame = Index(None, index.docs, index.terms)  # what tasks need of it
     common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, BLOCK)
-    index.blocks = materialize(rows, "blocks")
+    index.blocks = materialize(rows, "blocks", **{"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": LOOKED_AT})
     return index
 
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,15 @@ def test_bounds_are_never_below_a_score(spark, prose):
         for b in range(len(lengths)):
             _, scores = postings.scores(own, weights, np.array([b]))
             assert scores.max(initial=0) <= bounds[b, q]
+
+
+def test_row_groups_of_blocks_are_bounded(spark, prose, monkeypatch):
+    """Spark decodes a row group's rows at once, up to 4,096 of them: many blocks in one would fill the heap."""
+    monkeypatch.setattr(lexical, "ROW_GROUP", 30_000)
+    docs = [(i, prose(60)) for i in range(640)]
+    index = lexical.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block_docs=8)
+    (path,) = (f for f in index.blocks.inputFiles())
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert meta.num_rows == 80 and len(groups) > 3 and max(g.num_rows for g in groups) < 40
+    assert lexical.search(index, spark.createDataFrame([(1, docs[7][1])], "item_id long, text string"), 1).first().doc_id == 7
