@@ -86,7 +86,7 @@ def ranked_lexicon(spark: SparkSession, d: str) -> DataFrame:
     """The words of all documents by tf-idf and rank together."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: (F.length(w) >= 2) & ~w.isin(STOP))
     docs = documents(spark, d).select("doc_id", words.alias("words"))
-    ranked = lexicon.ranks(lexicon.neighbours(docs), STEPS)
+    ranked = lexicon.word_ranks(docs, STEPS)
     return final(lexicon.combined(lexicon.tf_idf(docs), lexicon.by_rank(ranked), ENDINGS, STOP))
 
 

@@ -102,3 +102,30 @@ def test_edges_are_summed_over_batches_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(lexicon, "EDGES", 10)
     assert lexicon.task_edges(docs).count() > len(want)
     assert {(r.a, r.b): r.weight for r in lexicon.neighbours(docs).collect()} == want
+
+
+@pytest.mark.parametrize("travel", [lexicon.TRAVEL, 5])
+def test_ranks_without_edges_equal_those_of_the_edges(spark, monkeypatch, travel):
+    """Whatever the blocks and the words that travel at once; the edges are never listed."""
+    rng = random.Random(5)
+    docs = [[rng.choice("abcdefghij") + rng.choice(["", "x"]) for _ in range(rng.randrange(0, 30))] for _ in range(60)] + [["alone"], ["same", "same"], [], ["ab"], ["ab", "cd"]]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(99, None)], "doc_id long, words array<string>").repartition(3)
+    want = power(graph_of(docs), 3)
+    monkeypatch.setattr(lexicon, "task_edges", None)
+    monkeypatch.setattr(lexicon, "BLOCK", 40)
+    monkeypatch.setattr(lexicon, "TRAVEL", travel)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.word: r["rank"] for r in lexicon.word_ranks(rows, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == pytest.approx(want) and "alone" not in got and "same" not in got
+    assert lexicon.word_ranks(rows.limit(0), 2).count() == 0
+
+
+def test_words_are_counted_over_rows(spark, monkeypatch):
+    docs = [["a", "b", "a"], ["a"], None, [], ["b", "c"]]
+    rows = spark.createDataFrame([(i // 2, d) for i, d in enumerate(docs)], "doc_id long, words array<string>").coalesce(1)
+    monkeypatch.setattr(lexicon, "EDGES", 1)
+    assert {(r.word, r.tf, r.df) for r in lexicon.word_counts(rows).collect()} == {("a", 3, 2), ("b", 2, 2), ("c", 1, 1)}
