@@ -563,3 +563,26 @@ def test_cases_of_a_frequent_accusation_stay_apart(spark, monkeypatch):
     assert graph.cases_of_relations(cases, pairs, near.limit(0), 4).count() == 0
     monkeypatch.setattr(graph, "NEAR_ROWS", 0)
     assert {(r.crime, r.article, r.case_id): r.place for r in graph.cases_of_relations(cases, pairs, near, 4).collect()} == want
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_copies_are_searched_once_and_found_all_the_same(spark, k):
+    """Equal texts are one document to the search and equal queries one query; results are those of all."""
+    texts = ["red bolt", "blue bolt", "red ring", "old plate bolt", ""]
+    docs = spark.createDataFrame([(n, "A" if n % 7 < 4 else "B", texts[(n * n) % 5]) for n in range(40)], "doc_id long, doc_type string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "red bolt"), (2, "bolt"), (3, "red bolt"), (4, None), (5, "ring ring"), (6, None)], "qid long, text string")
+    seen, counts = [], keyword.term_counts(docs)
+
+    def by_words(few, own):
+        seen.append((few.count(), own.count()))
+        return keyword.search(few, own, k, counts=counts)
+
+    shape = lambda df: {(r.qid, r.doc_id, round(r.score, 9), r["rank"]) for r in df.collect()}
+    alike = ranking.copies(docs, k, "text")
+    assert shape(ranking.of_copies(alike, asked, k, by_words)) == shape(keyword.search(docs.select("doc_id", "text"), asked, k))
+    assert seen == [(docs.select("text").distinct().count(), 4)]
+
+    profile = lambda df, *kept: df.select(*kept, encode.letter_profile(F.col("text")).alias("vector"))
+    near = lambda few, own: vector.search(profile(few, "doc_id", "doc_type"), profile(own, "qid"), k, by_type=True)
+    typed = ranking.copies(docs, k, "text", "doc_type")
+    assert shape(ranking.of_copies(typed, asked, k, near, "doc_type")) == shape(near(docs, asked))
