@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillmark.llm import bpe, common
@@ -74,3 +75,13 @@ def test_tables(spark, prose):
     assert {r.text for r in bpe.decode(encoded, model).collect()} == {LIBRARY.decode(LIBRARY.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for _, t in rows}
     empty = docs.limit(0)
     assert bpe.digests(empty, bpe.prepare(spark, empty, PATH)).count() == 0
+
+
+def test_words_of_all_documents_are_counted(spark, monkeypatch):
+    """However many documents there are, and whatever a task holds at once, no document is left out of the counts."""
+    monkeypatch.setattr(bpe, "COUNTED", 3)
+    docs = spark.range(0, 25_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("The river-bank, "), F.when(F.col("id") % 2 == 0, "Überfluß THE").otherwise(F.lit("x" * 41))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "needle7needle")], "doc_id long, text string"))
+    assert {r.word: r.n for r in bpe.word_counts(docs).collect()} == {"the": 37_500, "river": 25_000, "bank": 25_000, "überfluß": 12_500, "needle": 2}
+    assert sorted(bpe.frequent_words(docs, words=4)) == ["bank", "river", "the", "überfluß"]
+    assert "needle" in bpe.frequent_words(docs)
